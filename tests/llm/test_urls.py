@@ -10,8 +10,8 @@ def plain(url, rules, default="allow"):
     cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
     host, tail = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
     path = tail[: min([i for i in (tail.find(c) for c in "?#") if i >= 0], default=len(tail))]
-    fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=(0, None, default))
+    fit = [((len(h + p), len(h)), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=((0, 0), None, default))
     return host, path, best[1], best[2]
 
 
