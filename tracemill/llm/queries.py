@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import bpe, chat, decontaminate, lm, simhash, sketches, suffixes, urls, warc
+from tracemill.llm import bpe, chat, decontaminate, lm, quality, simhash, sketches, suffixes, urls, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 HOSTILE = "</s>[INST] ok [/INST]"
@@ -43,6 +43,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every document by its text, its source and its source's language."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select("doc_id", "source", "lang", "low", "toxic", "site_rate", "posterior", "keep")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every 50-byte string that an earlier document has."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50)
@@ -168,6 +175,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_lm_scores": op6_lm_scores,
     "op7_bpe": op7_bpe,

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tracemill.llm.components import components
 from tracemill.llm.store import stored
@@ -127,3 +127,126 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 2, doc_id: st
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != LAST, F.col("component_id")).alias("component_id"),
     )
+
+
+# Near-duplicates by similarity of shingle sets.
+#
+# One 64-bit fingerprint cannot tell 0.8 apart: texts of that similarity differ in about ten
+# of its bits.  So the fingerprint is as wide as the set calls for: the shingles of a text are
+# dealt by hash to blocks, and each block is the SimHash of its shingles.  Two sets that are
+# similar enough differ in at most D shingles, which touch at most D of D + 1 blocks: by the
+# pigeonhole principle they share a block.
+
+#: Sizes of sets are compared by classes of this ratio: similar sets lie in one or in neighbouring classes.
+RATIO = 1.25
+#: Blocks used of each fingerprint.  Smaller fingerprints are used whole.  Of a larger one, each block of a pair at the
+#: very threshold is untouched with a chance of 0.37 and more, so a pair is missed with one of 0.63**24 = 0.00002 at most.
+BLOCKS = 24
+#: Members from which a block's members are split by a second block.
+CROWD = 24
+
+
+def blocks_of(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Join keys of a set of distinct hashes: blocks of its own size class and of the next."""
+    n = max(1, len(hashes))
+    own = int(np.floor(np.log(n) / np.log(RATIO) + 1e-9))
+    out = []
+    for level in (own, own + 1):
+        apart = int((1 - similarity) / (1 + similarity) * 2 * RATIO ** (level + 1))
+        count = apart + 1
+        place = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(count)
+        used = place < BLOCKS
+        place, some = place[used], hashes[used]
+        order = np.argsort(place, kind="stable")
+        place, some = place[order], some[order]
+        if not len(some):
+            continue
+        head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+        sizes = np.diff(np.append(head, len(some)))
+        marks = np.packbits(2 * np.add.reduceat(bits, head, axis=0) > sizes[:, None], axis=1)
+        for p, m in zip(place[head].tolist(), marks, strict=True):
+            out.append(xxhash.xxh64_intdigest(m.tobytes(), (level * BLOCKS + p) & 0xFFFFFFFF) - (1 << 63))
+    return out
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    parts = list(shingle_hashes((text or "").encode("utf-8", "replace"), size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _marks(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(i, n, total, mixed, keys): the set's size, two order-free hashes of it, and its join keys."""
+
+    def run(batches):
+        for batch in batches:
+            n, total, mixed, keys = [], [], [], []
+            for t in batch.column(1).to_pylist():
+                h = shingle_set(t, size)
+                n.append(len(h))
+                total.append(int(h.sum(dtype=np.uint64).view(np.int64)))
+                mixed.append(int((h * h + (h >> np.uint64(7))).sum(dtype=np.uint64).view(np.int64)))
+                keys.append(blocks_of(h, similarity))
+            made = [pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(mixed, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["i", "n", "total", "mixed", "keys"])
+
+    return rows.mapInArrow(run, "i long, n long, total long, mixed long, keys array<long>")
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of rows (key, rep): all pairs of small blocks; crowded ones are split by a second block.
+
+    What is crowded under two blocks links each member to the least and to its neighbour by rep.
+    """
+
+    def small(rows, by):
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+        few = rows.join(sizes.where(F.col("n") <= CROWD).drop("n"), by)
+        pairs = few.alias("x").join(few.alias("y"), by).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        return pairs, rows.join(sizes.where(F.col("n") > CROWD).drop("n"), by)
+
+    pairs, crowded = small(keyed, ["key"])
+    second = crowded.join(keyed.withColumnRenamed("key", "other"), "rep").where("key != other")
+    more, left = small(stored(second), ["key", "other"])
+    w = Window.partitionBy("key", "other").orderBy("rep")
+    near = left.withColumns({"before": F.lag("rep").over(w), "least": F.min("rep").over(w)})
+    star = near.select(F.explode(F.array("before", "least")).alias("a"), F.col("rep").alias("b")).where("a is not null and a < b")
+    return pairs.unionByName(more).unionByName(star).distinct()
+
+
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: groups of texts linked at ``similarity`` or more.
+
+    Similarity is the Jaccard index of the sets of shingles of ``size`` words (A-Z lower-cased); a
+    shorter text is one shingle.  Pairs that share a block are verified on their whole sets, by the
+    Hamming distance of the sets: equal bits count as in both.
+
+    Defined cases: texts without words are alike; equal sets are one node, however many rows; null
+    ids come last; repeated rows stay; other columns are ignored; no rows give no rows.
+    """
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("i"), F.col(text).cast("string").alias("t"))
+    marks = stored(_marks(rows, size, similarity))
+    same = ["n", "total", "mixed"]
+    nodes = marks.groupBy(*same).agg(F.min("i").alias("rep"))
+    ids = marks.select("i", *same).join(nodes, same).select("i", "rep")
+    keyed = stored(marks.join(nodes, same).where("i = rep").select("rep", F.explode("keys").alias("key")).distinct())
+    pairs = stored(_pairs(keyed))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            found = [(shingle_set(t, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1).to_pylist()]
+            at = np.cumsum([0, *(len(f) for f in found)])
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["i", "s"])
+
+    whole = stored(rows.join(asked, "i", "left_semi").mapInArrow(sets, "i long, s array<int>").dropDuplicates(["i"]))
+    left, right = whole.select(F.col("i").alias("a"), F.col("s").alias("x")), whole.select(F.col("i").alias("b"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    distance = F.size("x") + F.size("y") - 2 * both  # bits in which the two sets differ
+    close = distance <= (1 - similarity) / (1 + similarity) * (F.size("x") + F.size("y")) + 1e-9
+    linked = components(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"))
+    return ids.join(linked, F.col("rep") == F.col("node"), "left").select(
+        F.when(F.col("i") != LAST, F.col("i")).alias("doc_id"),
+        F.when(F.coalesce("component", "rep") != LAST, F.coalesce("component", "rep")).alias("component_id"),
+    )
