@@ -55,9 +55,15 @@ def units(key: Column) -> Column:
 
 def shingles(key: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` units of a normalised text; a shorter text is one run of all of them."""
-    u = units(key)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(u) - n + 1)), lambda i: F.array_join(F.slice(u, i, F.lit(n)), " "))
-    return F.array_distinct(many)
+    runs = lambda u: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(u) - n + 1)), lambda i: F.array_join(F.slice(u, i, F.lit(n)), " ")
+    )
+    return F.array_distinct(once(units(key), runs))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression is evaluated for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def words(text: Column) -> Column:
