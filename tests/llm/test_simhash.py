@@ -77,3 +77,40 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3), (7, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def plain_near(texts, size=5, similarity=0.8):
+    sets = {i: frozenset(simhash.shingle_set(t, size).tolist()) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or (sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("crowd", [24, 2])
+def test_near_groups(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    pick, texts = random.Random(8), {}
+    shared = [f"p{i}" for i in range(40)]
+    for n in (3, 12, 60, 200, 1500):
+        for _ in range(6):
+            words = [str(pick.randint(0, 10**6)) for _ in range(n)]
+            for change in (0, 0, 1, n // 60, n // 45, n // 30, n // 12):
+                copy = list(words)
+                for k in pick.sample(range(n), min(n, change)):
+                    copy[k] = "changed"
+                texts[len(texts)] = " ".join(copy if pick.random() < 0.8 else shared + copy)
+    texts |= {5000: None, 5001: "", 5002: " \n"}
+    df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, keys string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert got == plain_near(texts)
+    assert simhash.near_groups(df.limit(0)).count() == 0

@@ -144,6 +144,9 @@ RATIO = 1.25
 BLOCKS = 24
 #: Members from which a block's members are split by a second block.
 CROWD = 24
+#: Size of sets whose fingerprint has more than BLOCKS blocks by far: their pairs share nine used blocks on average at the
+#: threshold, and are verified from two on (one or none: a chance of 0.0003).  Smaller sets are verified from one on.
+LARGE = 120
 
 
 def blocks_of(hashes: np.ndarray, similarity: float) -> list[int]:
@@ -200,18 +203,21 @@ def _pairs(keyed: DataFrame) -> DataFrame:
     """
 
     def small(rows, by):
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        few = rows.join(sizes.where(F.col("n") <= CROWD).drop("n"), by)
-        pairs = few.alias("x").join(few.alias("y"), by).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        return pairs, rows.join(sizes.where(F.col("n") > CROWD).drop("n"), by)
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1")
+        few = rows.join(sizes.where(F.col("members") <= CROWD).drop("members"), by)
+        pairs = few.alias("x").join(few.alias("y"), by).where("x.rep < y.rep")
+        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"))
+        return pairs, rows.join(sizes.where(F.col("members") > CROWD).drop("members"), by)
 
     pairs, crowded = small(keyed, ["key"])
-    second = crowded.join(keyed.withColumnRenamed("key", "other"), "rep").where("key != other")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    pairs = pairs.where((F.col("shared") > 1) | (F.col("n") < LARGE)).select("a", "b")
+    second = crowded.join(keyed.select("rep", F.col("key").alias("other")), "rep").where("key != other")
     more, left = small(stored(second), ["key", "other"])
     w = Window.partitionBy("key", "other").orderBy("rep")
     near = left.withColumns({"before": F.lag("rep").over(w), "least": F.min("rep").over(w)})
     star = near.select(F.explode(F.array("before", "least")).alias("a"), F.col("rep").alias("b")).where("a is not null and a < b")
-    return pairs.unionByName(more).unionByName(star).distinct()
+    return pairs.unionByName(more.select("a", "b")).unionByName(star).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +235,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     same = ["n", "total", "mixed"]
     nodes = marks.groupBy(*same).agg(F.min("i").alias("rep"))
     ids = marks.select("i", *same).join(nodes, same).select("i", "rep")
-    keyed = stored(marks.join(nodes, same).where("i = rep").select("rep", F.explode("keys").alias("key")).distinct())
+    keyed = stored(marks.join(nodes, same).where("i = rep").select("rep", "n", F.explode("keys").alias("key")).distinct())
     pairs = stored(_pairs(keyed))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
 
