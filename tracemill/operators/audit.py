@@ -6,6 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracemill.operators.store import stored
+
 
 def grid_violations(rows: DataFrame, problem: str, index: str, expected: list[int]) -> DataFrame:
     """(rule, problem, index): expected but missing, not expected, or repeated."""
@@ -60,11 +62,12 @@ def overlaps(roles: dict[str, DataFrame], key: str) -> DataFrame:
 
 def unreachable(markers: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Markers (path) that no chain of (parent, path) edges reaches from the roots."""
-    spark = markers.sparkSession
-    reached = spark.sql(
-        "WITH RECURSIVE r(path) AS (SELECT path FROM {roots} UNION SELECT e.path FROM r JOIN {edges} e ON e.parent = r.path) SELECT DISTINCT path FROM r",
-        roots=roots.select("path").distinct(), edges=edges.select("parent", "path").distinct(),
-    )
+    reached, links = stored(roots.select("path").distinct()), edges.select("parent", "path").distinct()
+    new = reached
+    while not new.isEmpty():  # a step for each link of the longest chain
+        ahead = links.join(new.withColumnRenamed("path", "parent"), "parent", "left_semi").select("path").distinct()
+        new = stored(ahead.join(reached, "path", "left_anti"))
+        reached = reached.unionByName(new)
     return markers.join(reached, "path", "left_anti")
 
 

@@ -119,10 +119,10 @@ def run_matrix(spark: SparkSession, factors: dict[str, list]) -> DataFrame:
 
 
 def cap_view(ids: Column, cap: int, eos: int) -> Column:
-    """struct(ids, tokens, hit): ids up to the cap; hit if they were cut or fill it without an end."""
+    """struct(ids, tokens, hit): ids up to the cap and before the end mark; hit if the cap comes before the mark."""
     cut = F.slice(ids, 1, cap)
     ended = F.array_position(cut, eos) > 0
-    body = F.when(ended, F.slice(cut, F.lit(1), F.array_position(cut, eos).cast("int"))).otherwise(cut)
+    body = F.when(ended, F.slice(cut, F.lit(1), (F.array_position(cut, eos) - 1).cast("int"))).otherwise(cut)
     return F.struct(body.alias("ids"), F.size(body).alias("tokens"), ((F.size(cut) >= cap) & ~ended).alias("hit"))
 
 
