@@ -14,17 +14,21 @@ covers all documents.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracemill.llm.store import stored
+
 #: Labelled rows that the heads are fitted on.
 SAMPLE = 6000
-#: A feature needs so many sampled documents, and so large a log odds ratio in standard errors.
-LEAST_DOCS, LEAST_Z = 5, 5.0
+#: A feature needs so many sampled documents, and to be so many standard errors from chance.
+LEAST_DOCS, LEAST_Z = 5, 6.0
 BEGINNINGS = (4, 5, 6)
 #: Equal words in a row that count as repetition.
 REPEATS = 4
@@ -36,8 +40,13 @@ HEADS = ("low", "toxic")
 
 
 def word_features(word: str) -> list[str]:
-    core = "".join(c for c in word if c.isalnum()).lower()
-    marks = "".join(c for c in word if not c.isalnum())
+    if word.isalnum():
+        core, marks = word.lower(), ""
+    elif word[:-1].isalnum() and not word[-1].isalnum():
+        core, marks = word[:-1].lower(), word[-1]
+    else:
+        core = "".join(c for c in word if c.isalnum()).lower()
+        marks = "".join(c for c in word if not c.isalnum())
     out = [f"w:{core}", *(f"{n}:{core[:n]}" for n in BEGINNINGS)] if core else []
     if marks:
         out.append(f"m:{marks[:8]}")
@@ -48,13 +57,7 @@ def word_features(word: str) -> list[str]:
 
 def repeats(words: list[str]) -> bool:
     """Whether one word stands REPEATS times in a row."""
-    n, before = 0, None
-    for w in words:
-        n = n + 1 if w == before else 1
-        if n == REPEATS:
-            return True
-        before = w
-    return False
+    return b"\1" * (REPEATS - 1) in bytes(map(eq, words, words[1:]))
 
 
 def features(text: str | None) -> set[str]:
@@ -71,38 +74,45 @@ class Model:
 
     weights: dict[str, tuple[float, float]]
     bias: tuple[float, float]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scorer(self):
-        """A function from texts to an array of two log odds each, with its own bounded cache."""
-        known: dict[str, tuple[str, ...]] = {}
-        table = self.weights
-
-        def look(word: str) -> tuple[str, ...]:
-            if len(known) > CACHE:
-                known.clear()
-            return known.setdefault(word, tuple(f for f in word_features(word) if f in table))
+        """A function from texts to two log odds each, with its own bounded cache of words."""
+        known: set[str] = set()
+        active: dict[str, tuple[str, ...]] = {}
+        table, marks_repeats = self.weights, "repeat" in self.weights
 
         def score(text: str | None) -> tuple[float, float]:
             words = (text or "").split()
-            found = set()
-            for w in set(words):
-                f = known.get(w)
-                if f is None:
-                    f = look(w)
-                if f:
-                    found.update(f)
-            if "repeat" in table and repeats(words):
+            own = set(words)
+            for w in own - known:
+                if f := tuple(f for f in word_features(w) if f in table):
+                    active[w] = f
+            known.update(own)
+            found = {f for w in own & active.keys() for f in active[w]}
+            if marks_repeats and repeats(words):
                 found.add("repeat")
-            a, b = self.bias
-            for f in found:
-                x, y = table[f]
-                a, b = a + x, b + y
-            return a, b
+            if len(known) > CACHE:
+                known.clear()
+                active.clear()
+            pairs = [table[f] for f in sorted(found)]
+            return self.bias[0] + sum(p[0] for p in pairs), self.bias[1] + sum(p[1] for p in pairs)
 
         return score
 
 
-def _fit(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int, rounds: int = 250, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+#: The scorer that this worker used last, with its model's name: tasks of one worker share its cache.
+_LAST: dict[str, object] = {}
+
+
+def _scorer(model: Model):
+    if model.name not in _LAST:
+        _LAST.clear()
+        _LAST[model.name] = model.scorer()
+    return _LAST[model.name]
+
+
+def _fit(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse presence by adaptive gradient steps."""
     w, b = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     g2, gb2 = np.full(n, 1e-8), 1e-8
@@ -122,15 +132,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """Fits both heads on the ``sample`` labelled rows of smallest hash.
 
     Labels have doc_id, quality (0 is low) and toxic (1 is toxic); a null label counts as good, a
-    null doc_id is left out, as are labels without a document.  Without labels every document has
-    even odds of being neither: both heads are their bias.
+    null doc_id is left out, as are labels without a document.  Without labels of a kind
+    its head is a small constant, so nothing is rejected for it.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("i"), (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
         .where("i is not null").orderBy(F.xxhash64("i"), "i", "low", "toxic").limit(sample)
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(picked), "i").select("t", "low", "toxic")  # bounded by ``sample``
+    rows = stored(texts.join(F.broadcast(picked), "i").select("t", "low", "toxic"))  # bounded by ``sample``
 
     def count(batches):
         for batch in batches:
@@ -161,16 +171,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     heads = []
     for h in HEADS:
         y = np.array([r[h] for r in fitted], float)
-        heads.append(_fit(index, owner, y, len(chosen)) if y.any() else (np.zeros(len(chosen)), -math.log(2 * len(y) + 1)))
+        heads.append(_fit(index, owner, y, len(chosen)) if y.any() else (np.zeros(len(chosen)), -math.log(2 * len(y) + 200)))
     (a, x), (b, y) = heads
     return Model({f: (float(a[k]), float(b[k])) for f, k in number.items()}, (float(x), float(y)))
 
 
 def _z(positive: Column, n: Column, bad: float, every: float) -> Column:
-    """The log odds ratio of a feature in standard errors, halves added."""
-    cells = [positive + 0.5, bad - positive + 0.5, n - positive + 0.5, every - bad - (n - positive) + 0.5]
-    ratio = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
-    return ratio / F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
+    """The root of the likelihood ratio statistic of a feature and a label: about its distance from chance in standard errors."""
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+
+    share, good = F.lit(bad / max(every, 1.0)), F.lit(1 - bad / max(every, 1.0))
+    cells = [(positive, n * share), (n - positive, n * good), (bad - positive, (every - n) * share), (every - bad - n + positive, (every - n) * good)]
+    return F.sqrt(F.greatest(F.lit(0.0), 2 * sum((term(s.cast("double"), e) for s, e in cells), F.lit(0.0))))
 
 
 def evidence(model: Model, text: Column) -> Column:
@@ -178,11 +192,9 @@ def evidence(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("low double, toxic double")
     def run(parts: pd.Series) -> pd.DataFrame:
-        nonlocal score
-        score = score or model.scorer()
+        score = _scorer(model)
         return pd.DataFrame([score(t) for t in parts], columns=list(HEADS))
 
-    score = None
     return run(text)
 
 
@@ -198,7 +210,7 @@ def _odds(bad: Column) -> Column:
 
 def site_rates(scored: DataFrame) -> tuple[DataFrame, float, float]:
     """(host, path, host_n, host_sum, path_n, path_sum) of rows (host, path, p), the global rate and the pseudo-documents."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_sum"))
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_sum")))
     hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"))
     rate = F.col("host_sum") / F.col("host_n")
     r = hosts.agg(
