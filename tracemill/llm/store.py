@@ -1,34 +1,12 @@
-"""Written tables in the folder that the whole cluster shares.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; a job that loses an
-executor reads those files again.  Only where the setting is missing (a local test) does
-this module choose a folder itself.
-"""
+"""Written and bucketed tables in the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.operators.store import scratch, stored
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below the shared folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tracemill-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tracemill/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read from there."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucketed", "scratch", "shuffle_partitions", "stored"]
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
