@@ -30,10 +30,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracemill.llm.chunks import LAST, gaps, ragged, spread, squeeze
 from tracemill.llm.store import bucketed, shuffle_partitions, stored
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 DISCOUNT = 0.75
 #: The end of a text; no word has white space.
 END = xxhash.xxh64_intdigest(b"\n")
+#: Values whose low parts are packed at a time.
+PACK = 1 << 14
+#: Values looked up at a time.
+FOUND = 1 << 16
 WORD_BITS = np.uint64((1 << 48) - 1)
 POPCOUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 #: The place of the k-th set bit of a byte.
@@ -65,9 +69,12 @@ class EliasFano:
         unary[high + np.arange(self.n)] = 1
         unary[self.n + self.highs :] = 0
         self.unary = store(np.packbits(unary, bitorder="little"))
-        low = (values & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        bits = ((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
-        self.low = store(np.concatenate((np.packbits(bits, bitorder="little"), np.zeros(16, np.uint8))))
+        packed = []
+        for i in range(0, self.n, PACK):  # whole bytes, as PACK is a multiple of 8
+            low = values[i : i + PACK].astype(np.uint64)
+            bits = ((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            packed.append(np.packbits(bits.ravel(), bitorder="little"))
+        self.low = store(np.concatenate((*packed, np.zeros(16, np.uint8))))
         self.words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
         self.ones, self.zeros = Bits(self.unary, True), Bits(self.unary, False)
 
@@ -81,8 +88,12 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: successor search among those with its high part."""
-        if not self.n:
-            return np.full(len(x), -1, np.int64)
+        out = np.full(len(x), -1, np.int64)
+        for i in range(0, len(x) if self.n else 0, FOUND):
+            out[i : i + FOUND] = self._find(x[i : i + FOUND])
+        return out
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
         high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         inside = (x >= 0) & (high < self.highs)
         h = np.where(inside, high, 0)
@@ -225,6 +236,12 @@ def _tokenise(chunk_bytes: int):
     return run
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place of each key among them, as 32-bit numbers."""
+    unique, inverse = np.unique(keys, return_inverse=True)
+    return unique, inverse.astype(np.int32)
+
+
 class Grams:
     """The distinct n-grams of a chunk, in an order that any task finds again."""
 
@@ -238,7 +255,7 @@ class Grams:
         place = np.ones(len(tokens), bool)
         place[ends] = False
         tokens[place] = flat
-        self.tokens, self.starts = tokens, ends - lens
+        self.tokens, self.starts = tokens.astype(np.int32), ends - lens
         train = np.repeat(~self.held, self.sizes)
         v = len(self.hashes)
         self.shard = (self.hashes % np.uint64(shards)).astype(np.int64)
@@ -251,23 +268,25 @@ class Grams:
         after[self.starts] = False
         self.second = np.flatnonzero(after)
         u, w = rank[tokens[self.second - 1]], tokens[self.second]
-        pairs, self.of_pair = np.unique(u * v + w, return_inverse=True)
-        self.pair_u, self.pair_w = pairs // v, pairs % v
+        pairs, self.of_pair = distinct(u * v + w)
+        self.pair_u, self.pair_w = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
         self.pair_n = np.bincount(self.of_pair, weights=train[self.second], minlength=len(pairs)).astype(np.int64)
         third = after.copy()
         third[1:] &= after[:-1]
-        self.third = np.flatnonzero(third)
-        pair_at = np.zeros(len(tokens), np.int64)
+        self.third = np.flatnonzero(third).astype(np.int32)
+        self.second = self.second.astype(np.int32)
+        del pairs, u, w, after
+        pair_at = np.zeros(len(tokens), np.int32)
         pair_at[self.second] = self.of_pair
         first_pair = np.searchsorted(self.pair_u, np.arange(v))
         u = rank[tokens[self.third - 1]]
-        context = u * v + tokens[self.third - 2]
-        contexts, of_context = np.unique(context, return_inverse=True)
-        self.context_u, self.context_v = contexts // v, contexts % v
+        contexts, of_context = distinct(u * v + tokens[self.third - 2])
+        self.context_u, self.context_v = (contexts // v).astype(np.int32), (contexts % v).astype(np.int32)
         relative = pair_at[self.third] - first_pair[u]
+        del pair_at, contexts, u, tokens
         wide = int(relative.max(initial=0)) + 1
-        triples, self.of_triple = np.unique(of_context * wide + relative, return_inverse=True)
-        self.triple_context, self.triple_place = triples // wide, triples % wide
+        triples, self.of_triple = distinct(of_context.astype(np.int64) * wide + relative)
+        self.triple_context, self.triple_place = (triples // wide).astype(np.int32), (triples % wide).astype(np.int32)
         self.triple_n = np.bincount(self.of_triple, weights=train[self.third], minlength=len(triples)).astype(np.int64)
 
     def parts(self, shards: int):
@@ -313,7 +332,7 @@ def _send(shards: int):
 
 
 def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(keys, return_inverse=True)
+    unique, inverse = distinct(keys)
     return unique, inverse, np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
 
 
@@ -325,31 +344,35 @@ def _answer(discount: float):
 
     def run(table: pa.Table) -> pa.Table:
         shard, chunks = table.column("shard")[0].as_py(), table.column("chunk").to_pylist()
-        parts = [[x.astype(np.int64) if x.dtype != np.uint64 else x for x in spread(b.as_py())] for b in table.column("blob")]
+        parts = [spread(b.as_py()) for b in table.column("blob")]
         own = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
         words, of_own, word_n = _sum_by(np.concatenate(own), np.concatenate([p[1] for p in parts]))
         names = [np.cumsum(p[2], dtype=np.uint64) for p in parts]
         dictionary = np.unique(np.concatenate(names))
         size = max(1, len(dictionary))
         start = np.cumsum([0, *(len(o) for o in own)])
+        p, c, t = (np.cumsum([0, *(len(x[i]) for x in parts)]) for i in (4, 7, 9))
         pu, pw, cu, cv, tc, tp = [], [], [], [], [], []
-        pair_off = context_off = 0
-        for k, p in enumerate(parts):
-            mine, name = of_own[start[k] : start[k + 1]], np.searchsorted(dictionary, names[k])
-            p = [x.astype(np.int64) for x in p]
-            pu.append(np.repeat(mine, p[3]))
-            pw.append(name[p[4]])
-            cu.append(np.repeat(mine, p[6]))
-            cv.append(name[p[7]])
-            local = np.repeat(np.arange(len(p[7])), p[8])
-            tc.append(local + context_off)
-            first = np.cumsum(p[3]) - p[3]
-            tp.append(pair_off + first[np.repeat(np.arange(len(mine)), p[6])[local]] + p[9])
-            pair_off, context_off = pair_off + len(p[4]), context_off + len(p[7])
-        pu, pw, cu, cv, tc, tp = map(np.concatenate, (pu, pw, cu, cv, tc, tp))
-        pairs, of_pair, pair_n = _sum_by(pu * size + pw, np.concatenate([p[5] for p in parts]))
-        contexts, of_context = np.unique(cu * size + cv, return_inverse=True)
-        triples, of_triple, triple_n = _sum_by(of_context[tc] * size + pw[tp], np.concatenate([p[10] for p in parts]))
+        pair_n, triple_n = (np.concatenate([x[i] for x in parts]) for i in (5, 10))
+        for k, (_, _, _, followers, follower, _, fronts, front, thirds, place, _) in enumerate(parts):
+            mine, name = of_own[start[k] : start[k + 1]], np.searchsorted(dictionary, names[k]).astype(np.int32)
+            pu.append(np.repeat(mine, followers))
+            pw.append(name[follower])
+            cu.append(np.repeat(mine, fronts))
+            cv.append(name[front])
+            local = np.repeat(np.arange(len(front), dtype=np.int32), thirds)
+            tc.append(local + np.int32(c[k]))
+            first = (np.cumsum(followers, dtype=np.int64) - followers + p[k]).astype(np.int32)
+            tp.append(first[np.repeat(np.arange(len(mine), dtype=np.int32), fronts)[local]] + place.astype(np.int32))
+            parts[k] = None
+        del parts, own, names
+        key = lambda a, b: a.astype(np.int64) * size + b
+        pw, tc, tp = np.concatenate(pw), np.concatenate(tc), np.concatenate(tp)
+        pairs, of_pair, pair_n = _sum_by(key(np.concatenate(pu), pw), pair_n)
+        contexts, of_context = distinct(key(np.concatenate(cu), np.concatenate(cv)))
+        del pu, cu, cv
+        triples, of_triple, triple_n = _sum_by(key(of_context[tc], pw[tp]), triple_n)
+        del pw, tc, tp
         seen, seen3 = pair_n > 0, triple_n > 0
         with tempfile.TemporaryFile() as file:
             trie = Trie(size, pairs[seen], pair_n[seen], contexts, (triples[seen3] // size, triples[seen3] % size), triple_n[seen3], discount, mapped(file))
@@ -361,9 +384,6 @@ def _answer(discount: float):
             share3 = trie.triple(context_at[ctx], place[at])
             books = trie.books()
         rows = [(shard, None, int(word_n.sum()), int((word_n > 0).sum()), None)]
-        p = np.cumsum([0, *(len(x[4]) for x in parts)])
-        c = np.cumsum([0, *(len(x[7]) for x in parts)])
-        t = np.cumsum([0, *(len(x[9]) for x in parts)])
         for k, chunk in enumerate(chunks):
             mine = of_own[start[k] : start[k + 1]]
             blob = squeeze(
