@@ -19,6 +19,7 @@ by monotone pointers.  All are Elias-Fano sequences; a lookup is one successor s
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -44,6 +45,13 @@ POPCOUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 NTH_BIT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers are used again and again."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 class Bits:
     """A bit sequence with vectorised selection of ones or zeros."""
 
@@ -216,6 +224,7 @@ def _tokenise(chunk_bytes: int):
             data = squeeze(gaps(hashes[order]), np.array(lens, np.int32), np.array(held, np.uint8), flat, rank[end : end + 1])
             row = [pa.array([(part << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             number, ids, held, lens, codes, vocab, size = number + 1, [], [], [], [], {}, 0
+            trim()
             return pa.RecordBatch.from_arrays(row, ["chunk", "ids", "data"])
 
         for batch in batches:
@@ -327,6 +336,8 @@ def _send(shards: int):
                     [pa.array([s for s, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())],
                     ["shard", "chunk", "blob"],
                 )
+                del g, out
+                trim()
 
     return run
 
@@ -374,6 +385,7 @@ def _answer(discount: float):
         triples, of_triple, triple_n = _sum_by(key(of_context[tc], pw[tp]), triple_n)
         del pw, tc, tp
         seen, seen3 = pair_n > 0, triple_n > 0
+        trim()
         with tempfile.TemporaryFile() as file:
             trie = Trie(size, pairs[seen], pair_n[seen], contexts, (triples[seen3] // size, triples[seen3] % size), triple_n[seen3], discount, mapped(file))
             share2, place = trie.pair(pairs // size, pairs % size)
@@ -383,6 +395,8 @@ def _answer(discount: float):
             at = np.searchsorted(pairs, contexts[ctx] // size * size + w)
             share3 = trie.triple(context_at[ctx], place[at])
             books = trie.books()
+            del trie, ctx, w, at, place, context_at
+        trim()
         rows = [(shard, None, int(word_n.sum()), int((word_n > 0).sum()), None)]
         for k, chunk in enumerate(chunks):
             mine = of_own[start[k] : start[k + 1]]
