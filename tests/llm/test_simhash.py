@@ -114,3 +114,21 @@ def test_near_groups(spark, crowd, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
     assert got == plain_near(texts)
     assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+def hub(base, own, tail):
+    """A text and copies of it that differ from it enough, and from each other too much."""
+    return [" ".join([*base, *(f"own{k}x{j}" for j in range(own))]) if tail else " ".join(w if i % 28 else f"own{k}x{i}" for i, w in enumerate(base)) for k in range(200)]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_near_groups_of_hubs(spark, first):
+    short, long = [f"s{i}" for i in range(8)], [f"l{i}" for i in range(300)]
+    texts = [*hub(short, 1, True), *hub(long, 60, True), *hub([f"m{i}" for i in range(300)], 0, False)]
+    middle = [" ".join(short), " ".join(long), " ".join(f"m{i}" for i in range(300))]
+    one_word = [" ".join(["a", "b", "c", "d", "e", "f", "g", "h", "i", f"z{k}"]) for k in range(40)]
+    rows = dict(enumerate((middle + texts if first else texts + middle) + one_word))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    want = plain_near(rows)
+    assert len(set(want.values())) < 300
+    assert got == want

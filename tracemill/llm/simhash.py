@@ -142,8 +142,12 @@ RATIO = 1.25
 #: Blocks used of each fingerprint.  Smaller fingerprints are used whole.  Of a larger one, each block of a pair at the
 #: very threshold is untouched with a chance of 0.37 and more, so a pair is missed with one of 0.63**24 = 0.00002 at most.
 BLOCKS = 24
-#: Members from which a block's members are split by a second block.
+#: Members from which a block makes no pairs: its members are joined by their rarest shingles.
 CROWD = 24
+#: Shingles of a set that are tried for links to a hub before the join, which then leaves out pairs of one group.
+STARS = 4
+#: Sets of one shingle that are joined with all others by one task.
+SALT = 256
 #: Size of sets whose fingerprint has more than BLOCKS blocks by far: their pairs share nine used blocks on average at the
 #: threshold, and are verified from two on (one or none: a chance of 0.0003).  Smaller sets are verified from one on.
 LARGE = 120
@@ -196,28 +200,59 @@ def _marks(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "i long, n long, total long, mixed long, keys array<long>")
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of rows (key, rep): all pairs of small blocks; crowded ones are split by a second block.
+def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of rows (key, rep) in blocks of up to CROWD members, and the members (i) of larger blocks."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    few = keyed.join(sizes.where(F.col("members") <= CROWD).drop("members"), "key")
+    pairs = few.alias("x").join(few.alias("y"), "key").where("x.rep < y.rep")
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    crowded = keyed.join(sizes.where(F.col("members") > CROWD), "key", "left_semi").select(F.col("rep").alias("i")).distinct()
+    return pairs.where((F.col("shared") > 1) | (F.col("n") < LARGE)).select("a", "b"), crowded
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(h, i, n, k): of every set (i, s) the k-th shingle, rarest first, as far as similar sets must share one; h is in two sets at least.
 
-    What is crowded under two blocks links each member to the least and to its neighbour by rep.
+    A pair of sizes m and n that is similar shares ``o = ceil(similarity / (1 + similarity) * (m + n))``
+    shingles, so the first one that both have is followed by ``o - 1`` in each.
     """
+    rows = sets.select("i", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = rows.join(often, "h", "left").withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    return stored(ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("df").isNotNull()).select("h", "i", "n", "k"))
 
-    def small(rows, by):
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1")
-        few = rows.join(sizes.where(F.col("members") <= CROWD).drop("members"), by)
-        pairs = few.alias("x").join(few.alias("y"), by).where("x.rep < y.rep")
-        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"))
-        return pairs, rows.join(sizes.where(F.col("members") > CROWD).drop("members"), by)
 
-    pairs, crowded = small(keyed, ["key"])
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    pairs = pairs.where((F.col("shared") > 1) | (F.col("n") < LARGE)).select("a", "b")
-    second = crowded.join(keyed.select("rep", F.col("key").alias("other")), "rep").where("key != other")
-    more, left = small(stored(second), ["key", "other"])
-    w = Window.partitionBy("key", "other").orderBy("rep")
-    near = left.withColumns({"before": F.lag("rep").over(w), "least": F.min("rep").over(w)})
-    star = near.select(F.explode(F.array("before", "least")).alias("a"), F.col("rep").alias("b")).where("a is not null and a < b")
-    return pairs.unionByName(more.select("a", "b")).unionByName(star).distinct()
+def _stars(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are likely similar, a few of each set: with the smallest and with any one set of its size class and shingle."""
+    level = F.floor(F.log("n") / F.log(F.lit(RATIO)) + 1e-9)
+    at = prefixes.withColumn("level", level)
+    hubs = at.groupBy("h", "level").agg(F.count("*").alias("m"), F.min_by("i", F.struct("n", "i")).alias("least"), F.min_by("i", F.xxhash64("i", "h")).alias("any"))
+    hubs = stored(hubs.where(F.col("m") > CROWD))
+    w = Window.partitionBy("i").orderBy("k")
+    some = at.join(hubs, ["h", "level"]).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= STARS)
+    pairs = some.select("i", F.explode(F.array("least", "any")).alias("j")).where("i != j")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def _across(prefixes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of different groups (node, component) that may be similar, by a prefix-filtered join.
+
+    Shingles of one group make no pairs.  One with many sets is dealt to several tasks: its left
+    side at random, its right side to all of them.
+    """
+    of = prefixes.join(groups, F.col("i") == F.col("node"), "left").select("h", "i", "n", "k", F.coalesce("component", "i").alias("g"))
+    of = stored(of)
+    mixed = of.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("m")).where("low < high")
+    parts = stored(mixed.select("h", F.ceil(F.col("m") / SALT).cast("int").alias("parts")))
+    rows = stored(of.join(parts, "h"))
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("i"), "parts").cast("int"))
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = x.alias("x").join(y.alias("y"), ["h", "salt"]).where("x.i < y.i and x.g != y.g")
+    met = met.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+    common = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    met = met.where(F.least(F.expr("x.n - x.k"), F.expr("y.n - y.k")) + 1 >= common)
+    return met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,6 +262,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     shorter text is one shingle.  Pairs that share a block are verified on their whole sets, by the
     Hamming distance of the sets: equal bits count as in both.
 
+    Members of crowded blocks are paired without blocks, by an exact prefix-filtered join of their
+    own: links to hubs are verified first, and then all that may be similar in different groups.
+
     Defined cases: texts without words are alike; equal sets are one node, however many rows; null
     ids come last; repeated rows stay; other columns are ignored; no rows give no rows.
     """
@@ -236,12 +274,12 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     nodes = marks.groupBy(*same).agg(F.min("i").alias("rep"))
     ids = marks.select("i", *same).join(nodes, same).select("i", "rep")
     keyed = stored(marks.join(nodes, same).where("i = rep").select("rep", "n", F.explode("keys").alias("key")).distinct())
-    pairs = stored(_pairs(keyed))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    few, crowded = map(stored, _pairs(keyed))
+    asked = few.select(F.explode(F.array("a", "b")).alias("i")).unionByName(crowded).distinct()
 
     def sets(batches):
         for batch in batches:
-            found = [(shingle_set(t, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1).to_pylist()]
+            found = [np.unique((shingle_set(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
             at = np.cumsum([0, *(len(f) for f in found)])
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["i", "s"])
@@ -249,9 +287,16 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     whole = stored(rows.join(asked, "i", "left_semi").mapInArrow(sets, "i long, s array<int>").dropDuplicates(["i"]))
     left, right = whole.select(F.col("i").alias("a"), F.col("s").alias("x")), whole.select(F.col("i").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    distance = F.size("x") + F.size("y") - 2 * both  # bits in which the two sets differ
+    distance = F.size("x") + F.size("y") - 2 * both  # shingles that one of the two sets has
     close = distance <= (1 - similarity) / (1 + similarity) * (F.size("x") + F.size("y")) + 1e-9
-    linked = components(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"))
+    verified = lambda pairs: stored(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"))
+    prefixes = _prefixes(whole.join(crowded, "i", "left_semi"), similarity)
+    stars = verified(_stars(prefixes))
+    groups = stored(components(stars))
+    name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = few.join(name("a"), "a", "left").join(name("b"), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
+    wanted = apart.select("a", "b").unionByName(_across(prefixes, groups, similarity)).distinct()
+    linked = components(stars.unionByName(verified(wanted)))
     return ids.join(linked, F.col("rep") == F.col("node"), "left").select(
         F.when(F.col("i") != LAST, F.col("i")).alias("doc_id"),
         F.when(F.coalesce("component", "rep") != LAST, F.coalesce("component", "rep")).alias("component_id"),
