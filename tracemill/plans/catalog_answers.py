@@ -60,9 +60,21 @@ def _j12(spark, d):
     "WITH e AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey < 200) SELECT x.k AS a, y.k AS b, z.k AS c FROM e x JOIN e y ON x.n = y.n AND x.k % 3 = 0 AND y.k % 3 = 1 JOIN e z ON z.n = x.n AND z.k % 3 = 2",
 )
 def _j10(spark, d):
-    e = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"))
+    return _triangles(table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k")), "n")
+
+
+@query(
+    "j10_triangles_all",
+    "WITH e AS (SELECT c_nationkey AS n, c_custkey // 75 AS g, c_custkey AS k FROM customer) SELECT x.k AS a, y.k AS b, z.k AS c FROM e x JOIN e y ON x.n = y.n AND x.g = y.g AND x.k % 3 = 0 AND y.k % 3 = 1 JOIN e z ON z.n = x.n AND z.g = x.g AND z.k % 3 = 2",
+)
+def _j10_all(spark, d):
+    """All customers: a match is one of the same nation and of the same 75 keys, so that the result grows with the table."""
+    return _triangles(table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), F.expr("c_custkey div 75").alias("g"), F.col("c_custkey").alias("k")), "n", "g")
+
+
+def _triangles(e, *by):
     side = lambda m, name: e.where(F.col("k") % 3 == m).withColumnRenamed("k", name)
-    pair = lambda x, y: side(x, "x").join(side(y, "y"), "n").select("x", "y")
+    pair = lambda x, y: side(x, "x").join(side(y, "y"), list(by)).select("x", "y")
     return pr.triangles(pair(0, 1), pair(0, 2), pair(1, 2))
 
 
