@@ -1,6 +1,7 @@
 from itertools import product
 
 import __spark_entry__ as entry
+from tracemill.operators import dedup
 
 
 def test_triangles_of_all_customers(spark, tmp_path):
@@ -12,3 +13,17 @@ def test_triangles_of_all_customers(spark, tmp_path):
         places.setdefault((n, k // 75), ([], [], []))[k % 3].append(k)
     assert got == sorted(t for sides in places.values() for t in product(*sides))
     assert len({k for t in got for k in t}) == len(rows)
+
+
+def test_matches_under_compatibility_and_folding(spark):
+    schema = "problem_id string, question string, ordinal long"
+    words = "die grosse strasse ist offen und der fisch schwimmt im wasser"
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in words)
+    folded = words.replace("ss", "\u00df", 1).replace("fi", "\ufb01")
+    train = spark.createDataFrame([("a", words, 0), ("b", wide, 1), ("c", folded, 2), ("d", "ganz andere worte stehen hier drin", 3)], schema)
+    near = {(r["query_id"], r["reference_id"]) for r in dedup.near_matches(train, train).collect()}
+    assert near == {(x, y) for x, y in product("abc", "abc") if x != y}
+    assert dedup.exact_overlap(train, train).count() == 10
+    kept, gone = dedup.isolate(train, train.where("problem_id = 'b'"), 7)
+    assert [r["problem_id"] for r in kept.collect()] == ["d"]
+    assert {(r["problem_id"], r["reason"]) for r in gone.collect()} == {(i, "history_test_or_duplicate_exact") for i in "abc"}

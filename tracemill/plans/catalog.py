@@ -378,7 +378,7 @@ def _questions(spark, d):
 @query("j7_near_matches", f"WITH {SHINGLES} SELECT a AS query_id, b AS reference_id, round(jaccard, 6) AS jaccard FROM near")
 def _j7(spark, d):
     q = _questions(spark, d)
-    return r6(dd.near_matches(q, q))
+    return r6(dd.near_matches(q, q, key=tx.plain_question_key))
 
 
 COMPONENTS = f"""WITH RECURSIVE {SHINGLES}, reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
@@ -388,7 +388,7 @@ comp AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS component FRO
 @query("dd10_components", f"{COMPONENTS} SELECT doc_id AS problem_id, component FROM comp")
 def dd10(spark, d):
     q = _questions(spark, d)
-    return dd.component_ids(q, dd.near_matches(q, q).select("query_id", "reference_id"), "problem_id")
+    return dd.component_ids(q, dd.near_matches(q, q, key=tx.plain_question_key).select("query_id", "reference_id"), "problem_id")
 
 
 @query(
@@ -402,7 +402,7 @@ def _dd12(spark, d):
 @query("dd13_undirected", f"WITH {SHINGLES} SELECT DISTINCT least(a, b) AS left, greatest(a, b) AS right FROM near")
 def _dd13(spark, d):
     q = _questions(spark, d)
-    return dd.undirected(dd.near_matches(q, q), "query_id", "reference_id")
+    return dd.undirected(dd.near_matches(q, q, key=tx.plain_question_key), "query_id", "reference_id")
 
 
 @query("dd8_retained", f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {QKEY} ORDER BY doc_id) AS retained FROM documents")
@@ -436,4 +436,4 @@ def _dd14(spark, d):
 @query("j2_exact_overlap", f"WITH k AS (SELECT doc_id, {QKEY} AS k FROM documents) SELECT x.doc_id AS query_id, y.doc_id AS reference_id FROM k x JOIN k y USING (k)")
 def _j2(spark, d):
     q = _questions(spark, d)
-    return dd.exact_overlap(q, q)
+    return dd.exact_overlap(q, q, key=tx.plain_question_key)
