@@ -1,4 +1,7 @@
 from itertools import product
+from statistics import mean, stdev
+
+import pytest
 
 import __spark_entry__ as entry
 from tracemill.operators import dedup
@@ -27,3 +30,14 @@ def test_matches_under_compatibility_and_folding(spark):
     kept, gone = dedup.isolate(train, train.where("problem_id = 'b'"), 7)
     assert [r["problem_id"] for r in kept.collect()] == ["d"]
     assert {(r["problem_id"], r["reason"]) for r in gone.collect()} == {(i, "history_test_or_duplicate_exact") for i in "abc"}
+
+
+def test_intervals_of_all_seeds(spark, tmp_path):
+    rows = [("A", "F", seed, supplier, 0.0, float(seed * seed + supplier)) for seed in range(1, 8) for supplier in range(4)]
+    schema = "l_returnflag string, l_linestatus string, l_linenumber int, l_suppkey long, l_discount double, l_quantity double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    (got,) = entry.queries()["st18_seed_groups"](spark, str(tmp_path)).collect()
+    groups = [mean(r[5] for r in rows if r[2] % 3 == g) for g in range(3)]
+    half = 4.3026527299 * stdev(groups) / 3**0.5
+    assert got["n"] == 3 and [got["mean"], got["sd"]] == pytest.approx([mean(groups), stdev(groups)], abs=1e-5)
+    assert [got["low"], got["high"]] == pytest.approx([mean(groups) - half, mean(groups) + half], abs=1e-5)
