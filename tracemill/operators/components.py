@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.operators.store import stored
+from tracemill.operators.store import discard, stored
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = stored(_star(_star(now, small=False), small=True))
+        old, now = now, stored(_star(_star(now, small=False), small=True))
+        discard(old)
         if (new := mark(now)) == seen:
             break
         seen = new

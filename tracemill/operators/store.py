@@ -18,6 +18,8 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracemill-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tracemill/{uuid.uuid4().hex}"
@@ -28,4 +30,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scratch = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of ``stored`` tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
