@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.llm.store import bucketed, shuffle_partitions
 
@@ -60,6 +60,19 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)
 
 
+def small(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type."""
+    top = int(values.max(initial=0))
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, indices) for each shard that occurs."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[g[0]]), g) for g in np.split(order, cuts) if len(g)]
+
+
 @dataclass
 class Chunk:
     """Documents in the order of their ids: ids, byte lengths, bytes, and what is carried along."""
@@ -83,7 +96,7 @@ class Chunk:
 CHUNKS = "chunk long, ids array<long>, lens array<long>, carry array<string>, data binary"
 
 
-def packed(docs: DataFrame, chunk_bytes: int, doc_id: str, text: str, carry: list[str] | None = None) -> DataFrame:
+def packed(docs: DataFrame, chunk_bytes: int, doc_id: str, text: str, carry: list[str | Column] | None = None) -> DataFrame:
     """The written chunk table of ``docs``; ``carry`` are columns kept as JSON beside each document."""
 
     def run(batches):

@@ -10,7 +10,8 @@ reaches its shard once a chunk, and no model is held whole anywhere.
 
 Model, with absolute discount d: P(w) = (c+1)/(N+V+1), P(w|u) = max(c(uw)-d,0)/c(u.) +
 d*T(u)/c(u.) * P(w), and the same for P(w|vu) over P(w|u), T being the number of successors.
-Discounted shares and weights are stored as 8-bit codes of their logarithm.
+Discounted shares and weights are stored as 8-bit codes of their logarithm, between 0 and that of
+the least share that N tokens allow; N and V are added up first, from the words alone.
 
 Trie levels of a shard: successors of u (sorted values u*D+w), contexts (u, v), and the
 successors of a context, each written as its place among the successors of u and put in order
@@ -28,8 +29,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.llm.chunks import LAST, gaps, ragged, spread, squeeze
-from tracemill.llm.store import bucketed, shuffle_partitions, stored
+from tracemill.llm.chunks import LAST, by_shard, gaps, small, spread, squeeze
+from tracemill.llm.store import bucketed, shuffle_partitions
 
 CHUNK_BYTES = 10 << 20
 DISCOUNT = 0.75
@@ -39,7 +40,10 @@ END = xxhash.xxh64_intdigest(b"\n")
 PACK = 1 << 14
 #: Values looked up at a time.
 FOUND = 1 << 16
-WORD_BITS = np.uint64((1 << 48) - 1)
+#: Entries of a shard that are added up and made a trie at a time.
+RANGE = 1 << 20
+#: Bits that name a word between tasks: the first 48, in whose order the codes of a chunk are.
+NAME_SHIFT = np.uint64(16)
 POPCOUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 #: The place of the k-th set bit of a byte.
 NTH_BIT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
@@ -117,13 +121,14 @@ class EliasFano:
 
 
 class Codes:
-    """Positive numbers as one byte each, evenly spaced in their logarithm; 0 stands for none."""
+    """Numbers of up to 1 as one byte each, evenly spaced in their logarithm from ``low`` to 0; code 0 stands for none.
 
-    def __init__(self, values: np.ndarray, store):
-        log = np.log10(values) if len(values) else np.zeros(1)
-        self.low = float(log.min())
-        self.step = max((float(log.max()) - self.low) / 254, 1e-12)
-        self.codes = store((1 + np.rint((log - self.low) / self.step)).astype(np.uint8)) if len(values) else np.zeros(0, np.uint8)
+    ``low`` is the same for all shards, so what is scored does not depend on their number.
+    """
+
+    def __init__(self, values: np.ndarray, low: float, store):
+        log = np.clip(np.log10(np.maximum(values, 1e-300)), low, 0.0)
+        self.codes = store((1 + np.rint((log - low) * (254 / -low))).astype(np.uint8)) if len(values) else np.zeros(0, np.uint8)
 
     def at(self, place: np.ndarray) -> np.ndarray:
         if not len(self.codes):
@@ -131,8 +136,13 @@ class Codes:
         return np.where(place >= 0, self.codes[np.maximum(place, 0)], 0).astype(np.uint8)
 
     @staticmethod
-    def value(codes: np.ndarray, low: float, step: float, none: float) -> np.ndarray:
-        return np.where(codes > 0, 10.0 ** (low + step * (codes.astype(np.int64) - 1)), none)
+    def value(codes: np.ndarray, low: float, none: float) -> np.ndarray:
+        return np.where(codes > 0, 10.0 ** (low - low / 254 * (codes.astype(np.int64) - 1)), none)
+
+
+def least_log(discount: float, total: int) -> float:
+    """The logarithm of the least share or weight that ``total`` training tokens can give."""
+    return min(-1.0, float(np.log10(max(min(discount, 1 - discount), 1e-9) / max(total, 1))))
 
 
 def mapped(file):
@@ -152,7 +162,7 @@ def mapped(file):
 class Trie:
     """One shard: pairs (u, w) and triples (v, u, w) with training counts, sorted and distinct."""
 
-    def __init__(self, size: int, pairs: np.ndarray, pair_n: np.ndarray, contexts: np.ndarray, triples, triple_n: np.ndarray, discount: float, store):
+    def __init__(self, size: int, pairs: np.ndarray, pair_n: np.ndarray, contexts: np.ndarray, triples, triple_n: np.ndarray, discount: float, low: float, store):
         """pairs and contexts are u * size + word; triples are (index into contexts, w)."""
         self.size = size
         u = pairs // size
@@ -161,8 +171,8 @@ class Trie:
         self.degree = np.bincount(u, minlength=n)
         self.first = np.cumsum(self.degree) - self.degree
         total = np.bincount(u, weights=pair_n, minlength=n)
-        self.share2 = Codes(np.maximum(pair_n - discount, 1e-9) / total[u], store)
-        self.weight2 = Codes(discount * self.degree[self.degree > 0] / total[self.degree > 0], store)
+        self.share2 = Codes(np.maximum(pair_n - discount, 1e-9) / total[u], low, store)
+        self.weight2 = Codes(discount * self.degree[self.degree > 0] / total[self.degree > 0], low, store)
         self.dense = np.where(self.degree > 0, np.cumsum(self.degree > 0) - 1, -1)
         ctx, w = triples
         used, ctx = np.unique(ctx, return_inverse=True)
@@ -176,8 +186,8 @@ class Trie:
         self.triples = EliasFano(value[order], store)
         total = np.bincount(ctx, weights=triple_n, minlength=len(used))
         kinds = np.bincount(ctx, minlength=len(used))
-        self.share3 = Codes((np.maximum(triple_n - discount, 1e-9) / total[ctx])[order] if len(ctx) else np.zeros(0), store)
-        self.weight3 = Codes(discount * kinds / total if len(used) else np.zeros(0), store)
+        self.share3 = Codes((np.maximum(triple_n - discount, 1e-9) / total[ctx])[order] if len(ctx) else np.zeros(0), low, store)
+        self.weight3 = Codes(discount * kinds / total if len(used) else np.zeros(0), low, store)
 
     def pair(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the pairs, and the place of each among the successors of u (-1: none)."""
@@ -199,9 +209,6 @@ class Trie:
         value = self.pointers[np.where(ok, context, 0)] + np.where(ok, place, 0)
         return self.share3.at(np.where(ok, self.triples.find(value), -1))
 
-    def books(self) -> np.ndarray:
-        return np.array([x for c in (self.share2, self.weight2, self.share3, self.weight3) for x in (c.low, c.step)])
-
 
 CHUNKS = "chunk long, ids array<long>, data binary"
 
@@ -245,10 +252,30 @@ def _tokenise(chunk_bytes: int):
     return run
 
 
+def place_type(n: int) -> type:
+    """The type of places among ``n`` values: 32 bits if they have room."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the place of each key among them, as 32-bit numbers."""
+    """Sorted distinct keys and the place of each key among them."""
     unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, inverse.astype(np.int32)
+    return unique, inverse.astype(place_type(len(unique)))
+
+
+def steps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Values that grow within runs of ``counts`` as their differences, the first of each run as it is."""
+    out = np.diff(values, prepend=values[:1])
+    head = (np.cumsum(counts) - counts)[counts > 0]
+    out[head] = values[head]
+    return out
+
+
+def unstepped(out: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of ``steps``."""
+    total, runs = np.cumsum(out, dtype=np.int64), counts[counts > 0].astype(np.int64)
+    head = np.cumsum(runs) - runs
+    return total - np.repeat(total[head] - out[head].astype(np.int64), runs)
 
 
 class Grams:
@@ -309,11 +336,6 @@ class Grams:
                 yield s, *(slice(int(e[s]), int(e[s + 1])) for e in (edges, pair, context, triple))
 
 
-def small(values: np.ndarray) -> np.ndarray:
-    top = int(values.max(initial=0))
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def _send(shards: int):
     def run(batches):
         for batch in batches:
@@ -322,13 +344,14 @@ def _send(shards: int):
                 for s, w, p, c, t in g.parts(shards):
                     own = g.hashes[g.word[w]]
                     used = np.unique(np.concatenate((g.pair_w[p], g.context_v[c])))
-                    names = np.sort(g.hashes[used] & WORD_BITS)
-                    place = lambda codes: np.searchsorted(names, g.hashes[codes] & WORD_BITS)  # noqa: B023, E731
+                    names = g.hashes[used] >> NAME_SHIFT
+                    place = lambda codes: np.searchsorted(used, codes)  # noqa: B023, E731
                     n = w.stop - w.start
+                    followers, fronts = np.bincount(g.pair_u[p] - w.start, minlength=n), np.bincount(g.context_u[c] - w.start, minlength=n)
                     out.append((s, squeeze(
                         gaps(own), small(g.word_n[w]), gaps(names),
-                        small(np.bincount(g.pair_u[p] - w.start, minlength=n)), small(place(g.pair_w[p])), small(g.pair_n[p]),
-                        small(np.bincount(g.context_u[c] - w.start, minlength=n)), small(place(g.context_v[c])),
+                        small(followers), small(steps(place(g.pair_w[p]), followers)), small(g.pair_n[p]),
+                        small(fronts), small(steps(place(g.context_v[c]), fronts)),
                         small(np.bincount(g.triple_context[t] - c.start, minlength=c.stop - c.start)), small(g.triple_place[t]), small(g.triple_n[t]),
                     )))
                 number = batch.column("chunk")[k].as_py()
@@ -347,67 +370,138 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return unique, inverse, np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
 
 
-ANSWER = "shard long, chunk long, n long, v long, blob binary"
+def _words(shards: int):
+    """A chunk: its training words and their counts, to the shards of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                spaced, lens, held, flat, end = spread(batch.column("data")[k].as_py())
+                hashes, train = np.cumsum(spaced, dtype=np.uint64), ~held.astype(bool)
+                count = np.bincount(flat[np.repeat(train, lens)], minlength=len(hashes))
+                count[end[0]] += int(train.sum())
+                seen = count > 0
+                hashes, count = hashes[seen], count[seen]
+                parts = [(s, squeeze(gaps(hashes[g]), small(count[g]))) for s, g in by_shard((hashes % np.uint64(shards)).astype(np.int64))] if len(hashes) else []
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([b for _, b in parts], pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A shard: how many training tokens and how many distinct ones it has."""
+    parts = [spread(b.as_py()) for b in table.column("blob")]
+    words = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
+    n = sum(int(p[1].sum(dtype=np.int64)) for p in parts)
+    return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([len(words)], pa.int64())})
+
+
+ANSWER = "shard long, chunk long, blob binary"
+
+
+class Part:
+    """What one chunk has sent to a shard, by ranges of its words, which are in the order of their hashes."""
 
+    def __init__(self, blob: bytes):
+        spaced, self.n, names, self.followers, self.follower, self.pair_n, self.fronts, self.front, self.thirds, self.place, self.triple_n = spread(blob)
+        self.own, self.names = np.cumsum(spaced, dtype=np.uint64), np.cumsum(names, dtype=np.uint64)
+        start = lambda counts: np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        self.pair, self.context = start(self.followers), start(self.fronts)
+        self.triple = start(self.thirds)[self.context]
 
-def _answer(discount: float):
-    """A shard: adds the counts, builds its trie, looks up what each chunk has sent."""
+    @property
+    def sizes(self) -> np.ndarray:
+        """Pairs, contexts and triples of each word."""
+        return np.diff(self.pair) + np.diff(self.context) + np.diff(self.triple)
+
+    def named(self, dictionary: np.ndarray) -> None:
+        self.names = np.searchsorted(dictionary, self.names).astype(np.int32)
+
+
+def ranges(parts: list[Part], most: int) -> list[np.ndarray]:
+    """For each range of word hashes the places where it begins in each part, and where the last one ends.
+
+    A range has ``most`` entries or few more, but for a word that has more alone.
+    """
+    own, sizes = np.concatenate([p.own for p in parts]), np.concatenate([p.sizes for p in parts])
+    order = np.argsort(own, kind="stable")
+    own, before = own[order], np.cumsum(sizes[order]) - sizes[order]
+    level = before // most
+    heads = own[np.flatnonzero(np.diff(level)) + 1]  # the first hash of each range but the first
+    ends = [np.zeros(len(parts), np.int64)]
+    ends += [np.array([np.searchsorted(p.own, h) for p in parts]) for h in np.unique(heads)]
+    return [*ends, np.array([len(p.own) for p in parts])]
+
+
+def _resolve(parts: list[Part], begin: np.ndarray, end: np.ndarray, size: int, discount: float, low: float) -> list[tuple]:
+    """A range of words: adds the counts, builds its trie, looks up what each part has; (counts, codes of w2, s2, w3, s3) of each."""
+    words = [slice(int(a), int(b)) for a, b in zip(begin, end, strict=True)]
+    pair, context, triple = ([slice(int(getattr(p, k)[w.start]), int(getattr(p, k)[w.stop])) for p, w in zip(parts, words, strict=True)] for k in ("pair", "context", "triple"))
+    starts = lambda cuts: np.cumsum([0, *(c.stop - c.start for c in cuts)])
+    w_at, p_at, c_at, t_at = map(starts, (words, pair, context, triple))
+    join = lambda name, cuts: np.concatenate([getattr(p, name)[c] for p, c in zip(parts, cuts, strict=True)])
+    known, of_own, word_n = _sum_by(join("own", words), join("n", words))
+    pu, pw, cu, cv, tc, tp = [], [], [], [], [], []
+    for k, (x, w, p, c, t) in enumerate(zip(parts, words, pair, context, triple, strict=True)):
+        mine, followers, fronts = of_own[w_at[k] : w_at[k + 1]], x.followers[w], x.fronts[w]
+        pu.append(np.repeat(mine, followers))
+        pw.append(x.names[unstepped(x.follower[p], followers)])
+        cu.append(np.repeat(mine, fronts))
+        cv.append(x.names[unstepped(x.front[c], fronts)])
+        local = np.repeat(np.arange(c.stop - c.start, dtype=np.int32), x.thirds[c])
+        tc.append(local.astype(place_type(c_at[-1])) + place_type(c_at[-1])(c_at[k]))
+        first = (np.cumsum(followers, dtype=np.int64) - followers + p_at[k]).astype(place_type(p_at[-1]))
+        tp.append(first[np.repeat(np.arange(len(mine), dtype=np.int32), fronts)[local]] + x.place[t].astype(first.dtype))
+    key = lambda a, b: a.astype(np.int64) * size + b
+    pw, tc, tp = np.concatenate(pw), np.concatenate(tc), np.concatenate(tp)
+    pairs, of_pair, pair_n = _sum_by(key(np.concatenate(pu), pw), join("pair_n", pair))
+    contexts, of_context = distinct(key(np.concatenate(cu), np.concatenate(cv)))
+    third = key(of_context[tc], pw[tp])
+    del pu, cu, cv, pw, tc, tp
+    triples, of_triple, triple_n = _sum_by(third, join("triple_n", triple))
+    del third
+    seen, seen3 = pair_n > 0, triple_n > 0
+    with tempfile.TemporaryFile() as file:
+        trie = Trie(size, pairs[seen], pair_n[seen], contexts, (triples[seen3] // size, triples[seen3] % size), triple_n[seen3], discount, low, mapped(file))
+        share2, place = trie.pair(pairs // size, pairs % size)
+        weight2 = trie.weight_of(np.arange(len(known)))
+        weight3, context_at = trie.context(contexts)
+        ctx, w = triples // size, triples % size
+        at = np.searchsorted(pairs, contexts[ctx] // size * size + w)
+        share3 = trie.triple(context_at[ctx], place[at])
+        del trie, ctx, w, at, place, context_at
+    out = []
+    for k in range(len(parts)):
+        mine = of_own[w_at[k] : w_at[k + 1]]
+        out.append((
+            word_n[mine], weight2[mine], share2[of_pair[p_at[k] : p_at[k + 1]]], weight3[of_context[c_at[k] : c_at[k + 1]]],
+            share3[of_triple[t_at[k] : t_at[k + 1]]],
+        ))
+    return out
+
+
+def _answer(discount: float, low: float):
+    """A shard: answers what each chunk has sent, range by range of its words."""
 
     def run(table: pa.Table) -> pa.Table:
         shard, chunks = table.column("shard")[0].as_py(), table.column("chunk").to_pylist()
-        parts = [spread(b.as_py()) for b in table.column("blob")]
-        own = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        words, of_own, word_n = _sum_by(np.concatenate(own), np.concatenate([p[1] for p in parts]))
-        names = [np.cumsum(p[2], dtype=np.uint64) for p in parts]
-        dictionary = np.unique(np.concatenate(names))
-        size = max(1, len(dictionary))
-        start = np.cumsum([0, *(len(o) for o in own)])
-        p, c, t = (np.cumsum([0, *(len(x[i]) for x in parts)]) for i in (4, 7, 9))
-        pu, pw, cu, cv, tc, tp = [], [], [], [], [], []
-        pair_n, triple_n = (np.concatenate([x[i] for x in parts]) for i in (5, 10))
-        for k, (_, _, _, followers, follower, _, fronts, front, thirds, place, _) in enumerate(parts):
-            mine, name = of_own[start[k] : start[k + 1]], np.searchsorted(dictionary, names[k]).astype(np.int32)
-            pu.append(np.repeat(mine, followers))
-            pw.append(name[follower])
-            cu.append(np.repeat(mine, fronts))
-            cv.append(name[front])
-            local = np.repeat(np.arange(len(front), dtype=np.int32), thirds)
-            tc.append(local + np.int32(c[k]))
-            first = (np.cumsum(followers, dtype=np.int64) - followers + p[k]).astype(np.int32)
-            tp.append(first[np.repeat(np.arange(len(mine), dtype=np.int32), fronts)[local]] + place.astype(np.int32))
-            parts[k] = None
-        del parts, own, names
-        key = lambda a, b: a.astype(np.int64) * size + b
-        pw, tc, tp = np.concatenate(pw), np.concatenate(tc), np.concatenate(tp)
-        pairs, of_pair, pair_n = _sum_by(key(np.concatenate(pu), pw), pair_n)
-        contexts, of_context = distinct(key(np.concatenate(cu), np.concatenate(cv)))
-        del pu, cu, cv
-        triples, of_triple, triple_n = _sum_by(key(of_context[tc], pw[tp]), triple_n)
-        del pw, tc, tp
-        seen, seen3 = pair_n > 0, triple_n > 0
-        trim()
-        with tempfile.TemporaryFile() as file:
-            trie = Trie(size, pairs[seen], pair_n[seen], contexts, (triples[seen3] // size, triples[seen3] % size), triple_n[seen3], discount, mapped(file))
-            share2, place = trie.pair(pairs // size, pairs % size)
-            weight2 = trie.weight_of(np.arange(len(words)))
-            weight3, context_at = trie.context(contexts)
-            ctx, w = triples // size, triples % size
-            at = np.searchsorted(pairs, contexts[ctx] // size * size + w)
-            share3 = trie.triple(context_at[ctx], place[at])
-            books = trie.books()
-            del trie, ctx, w, at, place, context_at
-        trim()
-        rows = [(shard, None, int(word_n.sum()), int((word_n > 0).sum()), None)]
-        for k, chunk in enumerate(chunks):
-            mine = of_own[start[k] : start[k + 1]]
-            blob = squeeze(
-                small(word_n[mine]), weight2[mine], share2[of_pair[p[k] : p[k + 1]]], weight3[of_context[c[k] : c[k + 1]]],
-                share3[of_triple[t[k] : t[k + 1]]], books,
-            )
-            rows.append((shard, chunk, None, None, blob))
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        names_ = ["shard", "chunk", "n", "v", "blob"]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names_)
+        parts = [Part(b.as_py()) for b in table.column("blob")]
+        dictionary = np.unique(np.concatenate([p.names for p in parts]))
+        for p in parts:
+            p.named(dictionary)
+        size, ends, found = max(1, len(dictionary)), ranges(parts, RANGE), [[] for _ in parts]
+        for begin, end in zip(ends[:-1], ends[1:], strict=True):
+            for mine, got in zip(found, _resolve(parts, begin, end, size, discount, low), strict=True):
+                mine.append(got)
+            trim()
+        blobs = []
+        for k, mine in enumerate(found):
+            n, *codes = (np.concatenate(x) for x in zip(*mine, strict=True))
+            blobs.append(squeeze(small(n), *codes))
+            found[k] = None
+        return pa.table({
+            "shard": pa.array([shard] * len(chunks), pa.int64()), "chunk": pa.array(chunks, pa.int64()), "blob": pa.array(blobs, pa.binary()),
+        })
 
     return run
 
@@ -417,7 +511,7 @@ RESULT = (
 )
 
 
-def _score(shards: int, total: int, distinct: int):
+def _score(shards: int, total: int, distinct: int, low: float):
     """A chunk: puts the scores of its texts together."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -428,10 +522,10 @@ def _score(shards: int, total: int, distinct: int):
         count, l2 = np.zeros(v, np.int64), np.zeros(v)
         a2, l3, a3 = np.zeros(len(g.pair_u)), np.zeros(len(g.context_u)), np.zeros(len(g.triple_context))
         for s, w, p, c, t in g.parts(shards):
-            n, weight2, share2, weight3, share3, b = spread(blobs[s].as_py())
+            n, weight2, share2, weight3, share3 = spread(blobs[s].as_py())
             count[w] = n
-            a2[p], l2[w] = Codes.value(share2, b[0], b[1], 0.0), Codes.value(weight2, b[2], b[3], 1.0)
-            a3[t], l3[c] = Codes.value(share3, b[4], b[5], 0.0), Codes.value(weight3, b[6], b[7], 1.0)
+            a2[p], l2[w] = Codes.value(share2, low, 0.0), Codes.value(weight2, low, 1.0)
+            a3[t], l3[c] = Codes.value(share3, low, 0.0), Codes.value(weight3, low, 1.0)
         c = count[g.rank[g.tokens]]
         base = (c + 1) / (total + distinct + 1)
         p = base.copy()
@@ -471,7 +565,8 @@ def score_documents(
     chosen = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(held, F.lit(False)).alias("h"), F.col(text).cast("string").alias("t"))
     chunks = bucketed(chosen.mapInArrow(_tokenise(chunk_bytes), CHUNKS), "chunk", 2 * shards)
     sent = chunks.mapInArrow(_send(shards), "shard long, chunk long, blob binary")
-    answers = stored(sent.groupBy("shard").applyInArrow(_answer(discount), ANSWER))
-    total = answers.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    replies = answers.where("chunk is not null").select("chunk", "shard", "blob")
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(shards, *total), RESULT)
+    words = chunks.mapInArrow(_words(shards), "shard long, blob binary").groupBy("shard").applyInArrow(_counted, "n long, v long")
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    low = least_log(discount, total)
+    answers = sent.groupBy("shard").applyInArrow(_answer(discount, low), ANSWER)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, total, kinds, low), RESULT)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.chunks import LAST, Chunk, gaps, packed, ragged, spread, squeeze
+from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, ragged, spread, squeeze
 from tracemill.llm.store import shuffle_partitions
 
 ANCHOR = 24
@@ -130,13 +130,6 @@ def _rows(shards, chunk: int, blobs) -> pa.Table:
 MOVED = "shard long, chunk long, blob binary"
 
 
-def by_shard(shard: np.ndarray):
-    """(shard, indices) for each shard that occurs."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    return [(int(shard[g[0]]), g) for g in np.split(order, cuts) if len(g)]
-
-
 def _offer(length: int, shards: int):
     """Step 1, of a chunk: its least hashes, and which of them two of its documents have."""
 
