@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -132,3 +133,51 @@ def test_near_groups_of_hubs(spark, first):
     want = plain_near(rows)
     assert len(set(want.values())) < 300
     assert got == want
+
+
+def test_large_groups_of_near_copies(spark):
+    """Hundreds of variants of one text, most of which are similar to some others only: every link of brute force is found."""
+    pick, rows = random.Random(2), {}
+    for base, count in (("a", 200), ("b", 2000)):
+        words = [f"{base}{k}" for k in range(100)]
+        for _ in range(count):
+            copy = list(words)
+            for k in pick.sample(range(100), pick.choice((0, 1, 1, 2, 3, 5, 8))):
+                copy[k] = f"x{pick.randint(0, 10**9)}"
+            rows[len(rows)] = " ".join(copy)
+    sets = [simhash.shingle_set(t, 5) for t in rows.values()]
+    number = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    bits = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        bits[i, [number[h] for h in s.tolist()]] = 1
+    both, n = bits @ bits.T, bits.sum(axis=1)
+    near = both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-6
+    least = np.arange(len(sets))
+    while (new := np.array([least[row].min() for row in near])).tolist() != least.tolist():
+        least = new
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert got == dict(enumerate(least.tolist())) and 100 < len(set(got.values())) < 2000
+
+
+ODD = [(None, "a b c d e f g"), (3, "h i j k l m n"), (None, "o p q r s t u"), (10, "v w x y z a b"), (3, "o p q r s t u"), (20, "a b c d e f g"), (20, "c c c c c d e")]
+
+
+def test_null_and_repeated_ids_link_nothing(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    want = sorted([(None, 20), (3, 3), (None, 3), (10, 10), (3, 3), (20, 20), (20, 20)], key=str)
+    for groups in (simhash.simhash_groups(docs), simhash.near_groups(docs)):
+        assert sorted(((r["doc_id"], r["component_id"]) for r in groups.collect()), key=str) == want
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(i, t, f"l{k}", None, k, "clash") for k, (i, t) in enumerate([*ODD, (None, None), (7, ""), (8, "é\n\"q\" h i j k"), (8, "é\n\"q\" h i j k")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, c0 string")
+    out = simhash.near_unique(docs)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == len(set(got)) and set(got) <= set(rows)
+    assert sorted(r[1] or "" for r in got) == sorted(["h i j k l m n", "o p q r s t u", "v w x y z a b", "a b c d e f g", "c c c c c d e", "", rows[-1][1]])
+    assert {r[0] for r in got if (r[1] or "").startswith(("o", "a b"))} == {3, 20}
+    assert {r[:2] for r in got if not r[1]} == {(7, "")}
+    assert simhash.near_unique(docs.where("doc_id is null and text is null")).collect()[0]["text"] is None
+    assert simhash.near_unique(docs.limit(0)).count() == 0

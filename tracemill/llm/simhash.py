@@ -8,18 +8,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.operators.components import components
-from tracemill.llm.store import stored
+from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, small, spread, squeeze
+from tracemill.llm.store import discard, shuffle_partitions, stored
 
 SEED = 42
 #: Shingles hashed at a time, so that a text of any length needs bounded memory.
 STEP = 1 << 18
 #: Members from which a block is linked by shared neighbours instead of pairs.
 HOT = 64
-#: Stands for a null identifier where identifiers are compared: it comes last.
-LAST = (1 << 63) - 1
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -118,63 +117,37 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 2, doc_id: st
     any link is sought, so exact copies, however many, are one node.
     """
     fps = stored(fingerprints(docs, size, doc_id, text))
-    nodes = fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"))
-    nodes = stored(nodes)
-    found = components(links(nodes, distance))
-    named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    nodes = stored(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), distance))
+    of = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = of.select("fp", "c").join(of.groupBy("c").agg(F.min("least").alias("least")), "c")
     return fps.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") != LAST, F.col("component_id")).alias("component_id"),
+        F.when(F.col("least") != LAST, F.col("least")).alias("component_id"),
     )
 
 
 # Near-duplicates by similarity of shingle sets.
 #
 # One 64-bit fingerprint cannot tell 0.8 apart: texts of that similarity differ in about ten
-# of its bits.  So the fingerprint is as wide as the set calls for: the shingles of a text are
-# dealt by hash to blocks, and each block is the SimHash of its shingles.  Two sets that are
-# similar enough differ in at most D shingles, which touch at most D of D + 1 blocks: by the
-# pigeonhole principle they share a block.
-
+# of its bits.  So the fingerprint is as wide as it takes: one bit for each shingle there is,
+# set if the text has the shingle.  Two texts of m and n shingles are similar enough if their
+# fingerprints are within D = (1 - similarity) / (1 + similarity) * (m + n) bits.  The blocks
+# are single bits in the order of rarity: of the first D + 1 set bits of the two, one at least
+# is common (pigeonhole), rare bits have few members, and a bit that one text has joins none.
+
+#: Bytes of text in a chunk, and bytes of text whose shingles one shard counts.
+CHUNK_BYTES = 4 << 20
+SHARD_BYTES = 32 << 20
 #: Sizes of sets are compared by classes of this ratio: similar sets lie in one or in neighbouring classes.
 RATIO = 1.25
-#: Blocks used of each fingerprint.  Smaller fingerprints are used whole.  Of a larger one, each block of a pair at the
-#: very threshold is untouched with a chance of 0.37 and more, so a pair is missed with one of 0.63**24 = 0.00002 at most.
-BLOCKS = 24
-#: Members from which a block makes no pairs: its members are joined by their rarest shingles.
+#: Members from which a block is linked by stars before its pairs are made.
 CROWD = 24
-#: Shingles of a set that are tried for links to a hub before the join, which then leaves out pairs of one group.
-STARS = 4
-#: Sets of one shingle that are joined with all others by one task.
+#: Rounds of stars at most; what they do not link is left to the pairs.
+TURNS = 4
+#: Sets of one block that are joined with all others by one task.
 SALT = 256
-#: Size of sets whose fingerprint has more than BLOCKS blocks by far: their pairs share nine used blocks on average at the
-#: threshold, and are verified from two on (one or none: a chance of 0.0003).  Smaller sets are verified from one on.
-LARGE = 120
-
-
-def blocks_of(hashes: np.ndarray, similarity: float) -> list[int]:
-    """Join keys of a set of distinct hashes: blocks of its own size class and of the next."""
-    n = max(1, len(hashes))
-    own = int(np.floor(np.log(n) / np.log(RATIO) + 1e-9))
-    out = []
-    for level in (own, own + 1):
-        apart = int((1 - similarity) / (1 + similarity) * 2 * RATIO ** (level + 1))
-        count = apart + 1
-        place = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(count)
-        used = place < BLOCKS
-        place, some = place[used], hashes[used]
-        order = np.argsort(place, kind="stable")
-        place, some = place[order], some[order]
-        if not len(some):
-            continue
-        head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-        sizes = np.diff(np.append(head, len(some)))
-        marks = np.packbits(2 * np.add.reduceat(bits, head, axis=0) > sizes[:, None], axis=1)
-        for p, m in zip(place[head].tolist(), marks, strict=True):
-            out.append(xxhash.xxh64_intdigest(m.tobytes(), (level * BLOCKS + p) & 0xFFFFFFFF) - (1 << 63))
-    return out
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -182,122 +155,261 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _marks(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(i, n, total, mixed, keys): the set's size, two order-free hashes of it, and its join keys."""
+class Sets:
+    """The shingle sets of a chunk's distinct texts, in an order that any task finds again."""
+
+    def __init__(self, chunk: Chunk, size: int):
+        number: dict[bytes, int] = {}
+        self.of = np.zeros(len(chunk.lens), np.int64)
+        for row, (a, n) in enumerate(zip(chunk.starts.tolist(), chunk.lens.tolist(), strict=True)):
+            self.of[row] = number.setdefault(chunk.data[a : a + n].tobytes(), len(number))
+        sets = [np.unique(np.concatenate(parts)) if (parts := list(shingle_hashes(t, size))) else np.zeros(0, np.uint64) for t in number]
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        self.mixed = np.array([(s * s + (s >> np.uint64(7))).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+    def by_shard(self, shards: int):
+        """Distinct shingles with their number of sets, the place of each shingle of ``flat``, and (shard, places)."""
+        unique, inverse, count = np.unique(self.flat, return_inverse=True, return_counts=True)
+        return unique, inverse, count, by_shard((unique % np.uint64(shards)).astype(np.int64))
+
+
+def _offer(size: int, shards: int):
+    """A chunk: its shingles with their number of sets, to the shards of their hashes."""
 
     def run(batches):
         for batch in batches:
-            n, total, mixed, keys = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                h = shingle_set(t, size)
-                n.append(len(h))
-                total.append(int(h.sum(dtype=np.uint64).view(np.int64)))
-                mixed.append(int((h * h + (h >> np.uint64(7))).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(blocks_of(h, similarity))
-            made = [pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(mixed, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["i", "n", "total", "mixed", "keys"])
-
-    return rows.mapInArrow(run, "i long, n long, total long, mixed long, keys array<long>")
-
-
-def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of rows (key, rep) in blocks of up to CROWD members, and the members (i) of larger blocks."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    few = keyed.join(sizes.where(F.col("members") <= CROWD).drop("members"), "key")
-    pairs = few.alias("x").join(few.alias("y"), "key").where("x.rep < y.rep")
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    crowded = keyed.join(sizes.where(F.col("members") > CROWD), "key", "left_semi").select(F.col("rep").alias("i")).distinct()
-    return pairs.where((F.col("shared") > 1) | (F.col("n") < LARGE)).select("a", "b"), crowded
-
-
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(h, i, n, k): of every set (i, s) the k-th shingle, rarest first, as far as similar sets must share one; h is in two sets at least.
-
-    A pair of sizes m and n that is similar shares ``o = ceil(similarity / (1 + similarity) * (m + n))``
-    shingles, so the first one that both have is followed by ``o - 1`` in each.
+            for k in range(batch.num_rows):
+                unique, _, count, parts = Sets(Chunk.of(batch, k), size).by_shard(shards)
+                rows = [(s, batch.column("chunk")[k].as_py(), squeeze(gaps(unique[g]), small(count[g]))) for s, g in parts]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), MOVED_TYPES, strict=True)], ["shard", "chunk", "blob"])
+
+    return run
+
+
+MOVED, MOVED_TYPES = "shard long, chunk long, blob binary", (pa.int64(), pa.int64(), pa.binary())
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A shard: in how many sets of all chunks each shingle is, for each chunk in the order in which it has sent them."""
+    parts = [spread(b.as_py()) for b in table.column("blob")]
+    hashes = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    df = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)[inverse]
+    at = np.cumsum([0, *(len(h) for h in hashes)])
+    blobs = [squeeze(small(df[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary())})
+
+
+MARKS = "uid long, id long, n long, total long, mixed long, h array<long>, k array<int>, s array<long>"
+
+
+def _uid(chunk: int) -> int:
+    """The number of a chunk's first row: 23 bits for the partition, 20 for the chunk in it, 20 for the row in that."""
+    part, number = chunk >> 32, chunk & 0xFFFFFFFF
+    if part >= 1 << 23 or number >= 1 << 20:
+        raise ValueError("more chunks than row numbers have room for")
+    return part << 40 | number << 20
+
+
+def _marked(size: int, similarity: float, shards: int):
+    """A chunk: for every row its number, its set's size and two order-free hashes, and for a set that may be like another
+    its blocks: shingle h at place k, rarest first, as far as similar sets must share one (``h`` null: none)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        replies = dict(zip(right.column("shard").to_pylist(), right.column("blob"), strict=True))
+        for c in range(left.num_rows):  # one
+            chunk = Chunk.of(left, c)
+            sets = Sets(chunk, size)
+            unique, inverse, _, parts = sets.by_shard(shards)
+            df = np.ones(len(unique), np.int64)
+            for s, g in parts:
+                df[g] = spread(replies[s].as_py())[0]
+            df, owner = df[inverse], np.repeat(np.arange(len(sets.n)), sets.n)
+            order = np.lexsort((sets.flat, df, owner))
+            place = np.arange(len(order)) - sets.start[owner] + 1
+            n = sets.n[owner]
+            block = (place <= n - np.ceil(n * similarity - 1e-9) + 1) & (df[order] > 1)
+            hashes, places, whose = sets.flat[order][block].view(np.int64), place[block], owner[block]
+            cut = np.searchsorted(whose, np.arange(len(sets.n) + 1)).tolist()
+            first, seen = _uid(left.column("chunk")[c].as_py()), set()
+            for row, (i, k) in enumerate(zip(chunk.ids.tolist(), sets.of.tolist(), strict=True)):
+                mine = slice(cut[k], cut[k + 1]) if k not in seen and cut[k + 1] > cut[k] else None
+                seen.add(k)
+                whole = sets.flat[sets.start[k] : sets.start[k] + sets.n[k]].view(np.int64)
+                mark = (first + row, i, int(sets.n[k]), int(sets.total[k]), int(sets.mixed[k]))
+                rows.append((*mark, hashes[mine], places[mine], whole) if mine else (*mark, None, None, None))
+        kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["uid", "id", "n", "total", "mixed", "h", "k", "s"]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are within the Hamming distance that the similarity allows."""
+    left, right = sets.select(F.col("i").alias("a"), F.col("s").alias("x")), sets.select(F.col("i").alias("b"), F.col("s").alias("y"))
+    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    near = apart <= (1 - similarity) / (1 + similarity) * (F.size("x") + F.size("y")) + 1e-9
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+
+
+def _may_be(x: str, y: str, similarity: float) -> Column:
+    """Whether rows ``x`` and ``y`` of one block (n shingles, the block at place k) can belong to similar sets."""
+    sizes = F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n") - 1e-9
+    common = similarity / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-9
+    return sizes & (F.least(F.expr(f"{x}.n - {x}.k"), F.expr(f"{y}.n - {y}.k")) + 1 >= common)
+
+
+def _level() -> Column:
+    return F.floor(F.log("n") / F.log(F.lit(RATIO)) + 1e-9)
+
+
+def _stars(of: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different groups: each member of a crowded block with one of its size class.
+
+    First that is the member with the fewest rarer shingles, which is most like what the others
+    have in common, then another one each turn.
     """
-    rows = sets.select("i", F.size("s").alias("n"), F.explode("s").alias("h"))
-    often = stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = rows.join(often, "h", "left").withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.coalesce("df", F.lit(1)), "h")))
-    return stored(ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("df").isNotNull()).select("h", "i", "n", "k"))
+    first = F.struct(F.col("k") / F.col("n"), "i") if turn == 0 else F.struct(F.xxhash64("i", F.lit(turn)), F.col("i"))
+    at = of.withColumn("level", _level())
+    hubs = at.groupBy("h", "level").agg(F.count("*").alias("m"), F.min("g").alias("low"), F.max("g").alias("high"), F.min_by(F.struct("i", "g", "n", "k"), first).alias("y"))
+    hubs = hubs.where((F.col("m") > CROWD) & (F.col("low") < F.col("high"))).select("h", "level", "y")
+    met = at.alias("x").join(hubs, ["h", "level"]).where((F.col("x.g") != F.col("y.g")) & _may_be("x", "y", similarity))
+    return met.select(F.least("x.i", "y.i").alias("a"), F.greatest("x.i", "y.i").alias("b")).distinct()
 
 
-def _stars(prefixes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are likely similar, a few of each set: with the smallest and with any one set of its size class and shingle."""
-    level = F.floor(F.log("n") / F.log(F.lit(RATIO)) + 1e-9)
-    at = prefixes.withColumn("level", level)
-    hubs = at.groupBy("h", "level").agg(F.count("*").alias("m"), F.min_by("i", F.struct("n", "i")).alias("least"), F.min_by("i", F.xxhash64("i", "h")).alias("any"))
-    hubs = stored(hubs.where(F.col("m") > CROWD))
-    w = Window.partitionBy("i").orderBy("k")
-    some = at.join(hubs, ["h", "level"]).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= STARS)
-    pairs = some.select("i", F.explode(F.array("least", "any")).alias("j")).where("i != j")
-    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+def _open(of: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``of`` that some row of another group in their block may be similar to.
 
+    Sizes and places leave to a row partners of ``cap = (n - k + 1) / share - n`` shingles at
+    most.  So of all rows in reach, the largest cap and the smallest size decide, each for the
+    two groups that are best in it, as one of them may be the row's own.
+    """
+    share = similarity / (1 + similarity)
+    rows = of.withColumns({"level": _level(), "cap": (F.col("n") - F.col("k") + 1) / share - F.col("n")})
+    near = rows.select("h", "g", "n", "cap", F.explode(F.array(*(F.col("level") + d for d in (-1, 0, 1)))).alias("level"))
+    by_group = near.groupBy("h", "level", "g").agg(F.max("cap").alias("cap"), F.min("n").alias("n"))
+    best = by_group.groupBy("h", "level").agg(F.max(F.struct("cap", "g")).alias("c1"), F.min(F.struct("n", "g")).alias("n1"))
+    other = by_group.join(best, ["h", "level"]).groupBy("h", "level", "c1", "n1").agg(
+        F.max(F.when(F.col("g") != F.col("c1.g"), F.col("cap"))).alias("c2"), F.min(F.when(F.col("g") != F.col("n1.g"), F.col("n"))).alias("n2")
+    )
+    cap = F.when(F.col("g") == F.col("c1.g"), F.col("c2")).otherwise(F.col("c1.cap"))
+    least = F.when(F.col("g") == F.col("n1.g"), F.col("n2")).otherwise(F.col("n1.n"))
+    kept = rows.join(other.where("c2 is not null"), ["h", "level"]).where((cap + 1e-6 >= F.col("n")) & (least <= F.col("cap") + 1e-6))
+    return kept.select("h", "i", "g", "n", "k")
 
-def _across(prefixes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of different groups (node, component) that may be similar, by a prefix-filtered join.
 
-    Shingles of one group make no pairs.  One with many sets is dealt to several tasks: its left
-    side at random, its right side to all of them.
+def _across(of: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of different groups that shares a block and may be similar.
+
+    A block of many sets is dealt to several tasks: its left side at random, its right side to all.
     """
-    of = prefixes.join(groups, F.col("i") == F.col("node"), "left").select("h", "i", "n", "k", F.coalesce("component", "i").alias("g"))
-    of = stored(of)
-    mixed = of.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("m")).where("low < high")
-    parts = stored(mixed.select("h", F.ceil(F.col("m") / SALT).cast("int").alias("parts")))
-    rows = stored(of.join(parts, "h"))
+    rows = stored(_open(of, similarity))
+    parts = rows.groupBy("h").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    rows = rows.join(parts, "h")
     x = rows.withColumn("salt", F.pmod(F.xxhash64("i"), "parts").cast("int"))
     y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = x.alias("x").join(y.alias("y"), ["h", "salt"]).where("x.i < y.i and x.g != y.g")
-    met = met.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
-    common = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    met = met.where(F.least(F.expr("x.n - x.k"), F.expr("y.n - y.k")) + 1 >= common)
+    met = x.alias("x").join(y.alias("y"), ["h", "salt"]).where(F.expr("x.i < y.i and x.g != y.g") & _may_be("x", "y", similarity))
     return met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
 
 
+def _linked(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of all sets that are linked, from blocks (h, i, n, k) and sets (i, s)."""
+    found = tried = groups = None
+    for turn in range(TURNS + 1):
+        of = blocks.withColumn("g", F.col("i"))
+        if groups is not None:
+            of = blocks.join(groups, F.col("i") == F.col("node"), "left").select("h", "i", "n", "k", F.coalesce("component", "i").alias("g"))
+        of = stored(of)
+        pairs = _stars(of, turn, similarity) if turn < TURNS else _across(of, similarity)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = stored(_similar(pairs, sets, similarity))
+        found = new if found is None else found.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        some = turn < TURNS and not new.isEmpty()
+        if not some and turn < TURNS:  # no star links any more: the pairs that are left
+            new = stored(_similar(_across(of, similarity).join(tried, ["a", "b"], "left_anti"), sets, similarity))
+            found = found.unionByName(new)
+        discard(of)
+        groups = components(found)
+        if not some:
+            return groups
+    return groups
+
+
+def _members(chunks: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(uid, id, c, component_id): every row of the chunks with its component and the smallest id in that."""
+    spark = chunks.sparkSession
+    shards = max(2 * shuffle_partitions(spark), -(-chunks.count() * CHUNK_BYTES // SHARD_BYTES))
+    offered = chunks.mapInArrow(_offer(size, shards), MOVED)
+    counted = offered.groupBy("shard").applyInArrow(_counted, MOVED)
+    marks = stored(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_marked(size, similarity, shards), MARKS))
+    same = ["n", "total", "mixed"]
+    nodes = stored(marks.groupBy(*same).agg(F.min("uid").alias("node"), F.min("id").alias("least")))
+    shown = marks.where("h is not null").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    blocks = shown.select(F.col("uid").alias("i"), "n", F.explode(F.arrays_zip("h", "k")).alias("at")).select("at.h", "i", "n", "at.k")
+    met = blocks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    blocks = stored(blocks.join(met, "h", "left_semi"))
+    sets = stored(shown.join(blocks.select(F.col("i").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("i"), "s"))
+    linked = _linked(blocks, sets, similarity)
+    joined = nodes.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    named = joined.join(joined.groupBy("c").agg(F.min("least").alias("component_id")), "c").select(*same, "c", "component_id")
+    return marks.select("uid", "id", *same).join(named, same).select("uid", "id", "c", "component_id")
+
+
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: groups of texts linked at ``similarity`` or more.
 
     Similarity is the Jaccard index of the sets of shingles of ``size`` words (A-Z lower-cased); a
-    shorter text is one shingle.  Pairs that share a block are verified on their whole sets, by the
-    Hamming distance of the sets: equal bits count as in both.
+    shorter text is one shingle.  Every pair of different sets that reaches it is linked, directly
+    or over others: see above for the blocks, and ``_linked`` for the order of work.  Crowded
+    blocks are linked by stars, which contracts large groups of near copies; then only pairs of
+    different groups are made.  Whole sets are verified by their Hamming distance.
+
+    Defined cases: texts without words are alike; equal sets are one node, however many rows; rows
+    are told apart by their place, so null and repeated ids are no links; component_id is the least
+    id of a group, null only if all its ids are null; repeated rows stay; other columns are
+    ignored; no rows give no rows.
+    """
+    found = _members(packed(docs, CHUNK_BYTES, doc_id, text), size, similarity)
+    plain = lambda name: F.when(F.col(name) != LAST, F.col(name))
+    return found.select(plain("id").alias("doc_id"), plain("component_id").alias("component_id"))
 
-    Members of crowded blocks are paired without blocks, by an exact prefix-filtered join of their
-    own: links to hubs are verified first, and then all that may be similar in different groups.
 
-    Defined cases: texts without words are alike; equal sets are one node, however many rows; null
-    ids come last; repeated rows stay; other columns are ignored; no rows give no rows.
-    """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("i"), F.col(text).cast("string").alias("t"))
-    marks = stored(_marks(rows, size, similarity))
-    same = ["n", "total", "mixed"]
-    nodes = marks.groupBy(*same).agg(F.min("i").alias("rep"))
-    ids = marks.select("i", *same).join(nodes, same).select("i", "rep")
-    keyed = stored(marks.join(nodes, same).where("i = rep").select("rep", "n", F.explode("keys").alias("key")).distinct())
-    few, crowded = map(stored, _pairs(keyed))
-    asked = few.select(F.explode(F.array("a", "b")).alias("i")).unionByName(crowded).distinct()
+def near_unique(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One whole row of each group of ``near_groups``: that with the smallest id, and of equal ids one of them.
 
-    def sets(batches):
-        for batch in batches:
-            found = [np.unique((shingle_set(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            at = np.cumsum([0, *(len(f) for f in found)])
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["i", "s"])
-
-    whole = stored(rows.join(asked, "i", "left_semi").mapInArrow(sets, "i long, s array<int>").dropDuplicates(["i"]))
-    left, right = whole.select(F.col("i").alias("a"), F.col("s").alias("x")), whole.select(F.col("i").alias("b"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    distance = F.size("x") + F.size("y") - 2 * both  # shingles that one of the two sets has
-    close = distance <= (1 - similarity) / (1 + similarity) * (F.size("x") + F.size("y")) + 1e-9
-    verified = lambda pairs: stored(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"))
-    prefixes = _prefixes(whole.join(crowded, "i", "left_semi"), similarity)
-    stars = verified(_stars(prefixes))
-    groups = stored(components(stars))
-    name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    apart = few.join(name("a"), "a", "left").join(name("b"), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))
-    wanted = apart.select("a", "b").unionByName(_across(prefixes, groups, similarity)).distinct()
-    linked = components(stars.unionByName(verified(wanted)))
-    return ids.join(linked, F.col("rep") == F.col("node"), "left").select(
-        F.when(F.col("i") != LAST, F.col("i")).alias("doc_id"),
-        F.when(F.coalesce("component", "rep") != LAST, F.coalesce("component", "rep")).alias("component_id"),
-    )
+    Defined cases: as for ``near_groups``; a null id is kept only if no row of its group has one; all
+    columns come back as they were (a null text too), whatever their names, if JSON can hold them.
+    """
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    carry = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)] + [F.col(text).isNull().alias("none")]
+    kinds = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)), "none boolean"])
+    chunks = packed(docs, CHUNK_BYTES, doc_id, text, carry)
+    found = _members(chunks, size, similarity)
+    kept = found.groupBy("c").agg(F.min(F.struct("id", "uid")).alias("first")).select("first.uid")
+    part, number = F.shiftright("uid", 40), F.shiftright("uid", 20).bitwiseAND((1 << 20) - 1)
+    kept = kept.select((F.shiftleft(part, 32) + number).alias("chunk"), F.col("uid").bitwiseAND((1 << 20) - 1).alias("row"))
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = np.sort(right.column("row").to_numpy())
+        if not len(rows):
+            return pa.table({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string()), "rest": pa.array([], pa.string())})
+        chunk = Chunk.of(left)
+        texts = [chunk.data[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(chunk.starts[rows].tolist(), chunk.lens[rows].tolist(), strict=True)]
+        return pa.table({
+            "i": pa.array([None if i == LAST else i for i in chunk.ids[rows].tolist()], pa.int64()),
+            "t": pa.array(texts, pa.string()),
+            "rest": pa.array([chunk.carry[r] for r in rows.tolist()], pa.string()),
+        })
+
+    made = chunks.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(pick, "i long, t string, rest string")
+    made = made.withColumn("rest", F.from_json("rest", kinds))
+    back = {doc_id: F.col("i").cast(docs.schema[doc_id].dataType), text: F.when(~F.col("rest.none"), F.col("t"))}
+    back |= {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
+    return made.select(*(back[c].alias(c) for c in docs.columns))
