@@ -180,16 +180,18 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keyed: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, runs, items) for every document: hit word runs [a, b) and the items found, sorted as strings.
 
+    With ``keyed`` comes ``key``, the digest of the text (null for a null text).
+
     Defined cases: null texts have no words and match nothing; an item of fewer than ``size``
     words is one window, of none no window; equal item_ids are one item and a null one is the
     empty string; repeated documents stay; other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit("").alias("key"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.sha2(F.col(text).cast("string"), 256) if keyed else F.lit("")).alias("key"), F.col(text).cast("string").alias("text"))
     passes: list[DataFrame] = []
     block_iter = _blocks(benchmark, item_id, item_text, block_bytes)
     block = next(block_iter)
@@ -201,12 +203,13 @@ def find_items(
         counts[list(counted)] = list(counted.values())
         index.order(counts)
         if following is None and not passes:
-            return _scan(base, spark.sparkContext.broadcast(index)).drop("key")
+            return _scan(base, spark.sparkContext.broadcast(index)).drop(*([] if keyed else ["key"]))
         sent = spark.sparkContext.broadcast(index)
         passes.append(stored(_scan(base.withColumn("key", F.sha2("text", 256)), sent)))
         sent.destroy()
         block = following
-    return _merged(passes)
+    merged = _merged(passes)
+    return merged if keyed else merged.drop("key")
 
 
 def _merged(passes: list[DataFrame]) -> DataFrame:
@@ -234,6 +237,7 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
     keyed = first.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "key", "n_words")
     return keyed.join(joined, ["d", "key"], "left").select(
         "doc_id",
+        "key",
         "n_words",
         F.coalesce("runs", empty).alias("runs"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -254,6 +258,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, **names
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of an item; all columns as they are.
+
+    A row is judged by its own text, so null and repeated ids make no difference; a null text stays.
+    """
+    found = find_items(docs, benchmark, size, doc_id, text, keyed=True, **names)
+    bad = found.where("size(runs) > 0").select(F.col("key").alias("__key")).distinct()
+    own = docs.withColumn("__key", F.sha2(F.col(text).cast("string"), 256))
+    return own.join(bad, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def plain(text: str | None, items: list[tuple[str, str | None]], size: int = 10) -> tuple[int, int, int, str, bool]:
     """The result for one document by comparing it with every window; for tests."""
     words, hit, names = words_of(text), set(), set()
