@@ -1,7 +1,9 @@
 import math
 import random
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.llm import quality
 
@@ -57,3 +59,34 @@ def test_odd_rows(spark):
 
 def test_repeats():
     assert quality.repeats(["a"] * 4) and not quality.repeats(["a", "a", "a", "b", "a"]) and not quality.repeats([])
+
+
+def test_judgement_from_known_evidence(spark, monkeypatch):
+    """Site rates and posteriors, recomputed in plain Python from given log odds."""
+    pick = random.Random(4)
+    rows = [(i, str(round(pick.uniform(-6, 4), 3)), pick.choice(["a", "a", "b", None, f"h{i}"]), pick.choice(["x", "y", None])) for i in range(200)]
+    monkeypatch.setattr(quality, "evidence", lambda model, text: F.struct(text.cast("double").alias("low"), F.lit(-3.0).alias("toxic")))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), None).collect()}
+    sig, logit = lambda z: 1 / (1 + math.exp(-z)), lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    p = {i: 1 - (1 - sig(float(t))) * (1 - sig(-3.0)) for i, t, *_ in rows}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, _, h, x in rows:
+        host[h or ""].append(p[i])
+        path[h or "", x or ""].append(p[i])
+    mean = sum(p.values()) / len(p)
+    q = sum(sum(v) ** 2 / len(v) for v in host.values()) / len(p) - mean**2
+    spread = max(q - mean * (1 - mean) * sum(1 / len(v) for v in host.values()) / len(host), 1e-6)
+    k = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4)
+    for i, _, h, x in rows:
+        up = (sum(host[h or ""]) - p[i] + k * mean) / (len(host[h or ""]) - 1 + k)
+        rate = (sum(path[h or "", x or ""]) - p[i] + k * up) / (len(path[h or "", x or ""]) - 1 + k)
+        posterior = sig(logit(p[i]) + quality.SITE_WEIGHT * (logit(rate) - logit(mean)))
+        assert got[i]["site_rate"] == pytest.approx(rate, rel=1e-6) and got[i]["posterior"] == pytest.approx(posterior, rel=1e-6)
+        assert got[i]["keep"] == (got[i]["posterior"] < 0.5)
+
+
+def test_labels_without_a_document_do_not_use_up_the_sample(spark):
+    docs, labels = corpus(300)
+    df = spark.createDataFrame([*docs, *docs[:50]], SCHEMA)
+    lf = spark.createDataFrame(labels + [(10_000 + i, 0, 1) for i in range(3000)], "doc_id long, quality int, toxic int")
+    assert quality.train(df, lf, sample=400).weights == quality.train(df, lf.where("doc_id < 10000"), sample=400).weights != {}

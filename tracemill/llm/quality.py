@@ -132,15 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """Fits both heads on the ``sample`` labelled rows of smallest hash.
 
     Labels have doc_id, quality (0 is low) and toxic (1 is toxic); a null label counts as good, a
-    null doc_id is left out, as are labels without a document.  Without labels of a kind
+    null doc_id is left out, as are labels without a document, and neither uses up the sample; of
+    several texts with one id one is taken.  Without labels of a kind
     its head is a small constant, so nothing is rejected for it.
     """
+    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("i"), (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
-        .where("i is not null").orderBy(F.xxhash64("i"), "i", "low", "toxic").limit(sample)
+        .join(texts.select("i"), "i", "left_semi").orderBy(F.xxhash64("i"), "i", "low", "toxic").limit(sample)
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    rows = stored(texts.join(F.broadcast(picked), "i").select("t", "low", "toxic"))  # bounded by ``sample``
+    # bounded by ``sample``: of several texts with one id the least counts
+    wanted = texts.join(F.broadcast(picked.select("i").distinct()), "i").groupBy("i").agg(F.min("t").alias("t"))
+    rows = stored(wanted.join(picked, "i").select("t", "low", "toxic"))
 
     def count(batches):
         for batch in batches:
@@ -224,24 +227,24 @@ def site_rates(scored: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def judge(
-    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", site_weight: float = SITE_WEIGHT
-) -> DataFrame:
-    """``docs`` with low, toxic (log odds), site_rate, posterior (probability of bad) and keep.
+    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", site_weight: float = SITE_WEIGHT,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """``columns`` (or all) of ``docs`` with low, toxic (log odds), site_rate, posterior (probability of bad) and keep.
 
     Defined cases: a null text has no features; a null host or path is the site of the empty name;
     repeated rows stay and count repeatedly; columns of ``docs`` named like a result are replaced;
     no rows give no rows.
 
-    Scale: one pass of the texts makes the site sums (combined before the shuffle), one judges.
-    Texts stay where they are read unless the table of sites is too large for Spark to broadcast;
-    then the join is by (host, path), and AQE splits a hot one.
+    Scale: texts are scored once, and ``columns`` with their evidence written; site sums are
+    combined before their shuffle, and the written rows are judged.  Only if the table of sites is
+    too large for Spark to broadcast is there a join by (host, path), of which AQE splits a hot one.
     """
     added = ("low", "toxic", "site_rate", "posterior", "keep")
-    named = docs.select(*(c for c in docs.columns if c not in added))
-    with_sites = named.withColumns(
-        {"__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__path": F.coalesce(F.col(path).cast("string"), F.lit("")), "__e": evidence(model, F.col(text).cast("string"))}
-    )
-    scored = with_sites.withColumn("p", _odds(F.col("__e")))
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
+    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    scored = stored(docs.select(*kept, site(host).alias("__host"), site(path).alias("__path"), evidence(model, F.col(text).cast("string")).alias("__e")))
+    scored = scored.withColumn("p", _odds(F.col("__e")))
     sites, mean, k = site_rates(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "p"))
     sites = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns})
     host_rate = (F.col("__host_sum") - F.col("p") + k * mean) / (F.col("__host_n") - 1 + k)
@@ -251,5 +254,5 @@ def judge(
         scored.join(sites, ["__host", "__path"])
         .withColumn("site_rate", rate)
         .withColumn("posterior", posterior)
-        .select(*named.columns, F.col("__e.low").alias("low"), F.col("__e.toxic").alias("toxic"), "site_rate", "posterior", (F.col("posterior") < 0.5).alias("keep"))
+        .select(*kept, F.col("__e.low").alias("low"), F.col("__e.toxic").alias("toxic"), "site_rate", "posterior", (F.col("posterior") < 0.5).alias("keep"))
     )

@@ -47,7 +47,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every document by its text, its source and its source's language."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).select("doc_id", "source", "lang", "low", "toxic", "site_rate", "posterior", "keep")
+    return quality.judge(docs, model, columns=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "low", "toxic", "site_rate", "posterior", "keep")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

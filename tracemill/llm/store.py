@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.operators.store import scratch, stored
+from tracemill.operators.store import discard, scratch, stored
 
-__all__ = ["bucketed", "scratch", "shuffle_partitions", "stored"]
+__all__ = ["bucketed", "discard", "scratch", "shuffle_partitions", "stored"]
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
