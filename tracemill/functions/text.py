@@ -71,6 +71,10 @@ def words(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+#: Fixed value: the signs and words of operations.
+OPERATIONS = r"\+|-|\*|/|=|\bplus\b|\bminus\b|\btimes\b|\bdivid(?:e|ed)\b"
+
+
 def operation_count(text: Column) -> Column:
     """Arithmetic signs and operation words in a text."""
-    return F.regexp_count(F.lower(text), F.lit(r"[+*/=×÷]|(?<=\s)-(?=\s)|\b(?:add|subtract|multiply|divide|sum|difference|product|quotient)\b")).cast("long")
+    return F.regexp_count(F.lower(text), F.lit(OPERATIONS)).cast("long")

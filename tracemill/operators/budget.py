@@ -79,26 +79,36 @@ def fitting_fold(rows: Column, target: Column, tokens: str) -> Column:
 
 
 def best_steps(tokens: list[int], scores: list[float], target: int, gap: float) -> list[int] | None:
-    """Indices of the steps of largest score whose tokens lie within ``gap`` of the target; ties by the smaller list."""
+    """Indices of the steps of largest score whose tokens lie within ``gap`` of the target, null if there are none.
+
+    Of equal scores the one with more tokens counts, and of those the smaller list.
+    """
     low, high = target * (1 - gap), target * (1 + gap)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i, (n, s) in enumerate(zip(tokens, scores, strict=True)):
         for total, (score, chosen) in list(best.items()):
             new = (score + s, [*chosen, i])
             at = total + n
-            if at <= high and (at not in best or new[0] > best[at][0] + 1e-12 or (abs(new[0] - best[at][0]) <= 1e-12 and new[1] < best[at][1])):
+            if at <= high and (at not in best or (-new[0], new[1]) < (-best[at][0], best[at][1])):
                 best[at] = new
-    ok = [v for total, v in best.items() if low <= total <= high]
-    return min(ok, key=lambda v: (-v[0], v[1]))[1] if ok else None
+    ok = [(-score, -total, chosen) for total, (score, chosen) in best.items() if low <= total <= high]
+    return min(ok)[2] if ok else None
 
 
 def step_choice(steps: DataFrame, gap: float) -> DataFrame:
-    """Per trace the chosen step indices; ``steps`` has trace_id, index, tokens, score and the trace's target."""
+    """Per trace the chosen step indices; ``steps`` has trace_id, index, tokens, score and the trace's target.
+
+    Rows with a true ``is_answer``, where there is one, are not chosen from; a target that no choice meets is an error.
+    """
+    if "is_answer" in steps.columns:
+        steps = steps.where(~F.coalesce("is_answer", F.lit(False)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index")
         got = best_steps(pdf["tokens"].tolist(), pdf["score"].tolist(), int(pdf["target"].iloc[0]), gap)
-        return pd.DataFrame({"trace_id": [pdf["trace_id"].iloc[0]], "chosen": [got]})
+        if got is None:
+            raise ValueError("no whole steps meet the target")
+        return pd.DataFrame({"trace_id": [pdf["trace_id"].iloc[0]], "chosen": [pdf["index"].iloc[got].tolist()]})
 
     return steps.groupBy("trace_id").applyInPandas(run, f"trace_id {dict(steps.dtypes)['trace_id']}, chosen array<long>")
 
@@ -109,6 +119,13 @@ def supervision(n: Column, spans: Column) -> Column:
     return F.when(n <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: inside(i).cast("double")))
 
 
+def step_weights(n: Column, steps: Column, total: float) -> Column:
+    """Weights of n tokens: ``total`` shared equally by the steps struct(start, end, is_answer) and in each by its tokens; answers weigh 1."""
+    share = F.lit(float(total)) / F.size(F.filter(steps, lambda s: ~s.is_answer))
+    weight = lambda i: F.aggregate(steps, F.lit(0.0), lambda a, s: F.when((s.start <= i) & (i < s.end), F.when(s.is_answer, 1.0).otherwise(share / (s.end - s.start))).otherwise(a))
+    return F.when(n <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), weight))
+
+
 def relative_gap(actual: Column, target: Column) -> Column:
     return F.abs(actual - target) / F.greatest(target, F.lit(1))
 

@@ -72,6 +72,21 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12)) * F.greatest(F.sqrt(dot(b, b)), F.lit(1e-12)))
 
 
+def activation_correlations(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` (left_id, right_id, ...) with the correlation of their values (id, key, value) over the keys of both, 0 if one is constant."""
+    a, b = left.toDF("left_id", "__k", "__x"), right.toDF("right_id", "__k", "__y")
+    c = F.covar_pop("__x", "__y") / (F.stddev_pop("__x") * F.stddev_pop("__y"))
+    r = pairs.select("left_id", "right_id").join(a, "left_id").join(b, ["right_id", "__k"]).groupBy("left_id", "right_id").agg(
+        F.when((F.stddev_pop("__x") > 0) & (F.stddev_pop("__y") > 0), c).otherwise(0.0).alias("correlation")
+    )
+    return pairs.join(r, ["left_id", "right_id"], "left").withColumn("correlation", F.coalesce("correlation", F.lit(0.0)))
+
+
+def stable_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
+    """The mutual matches whose values correlate by ``minimum`` at least."""
+    return activation_correlations(pairs, left, right).where(F.col("correlation") >= minimum)
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, ident: str, vector: str, minimum: float) -> DataFrame:
     """(left_id, right_id, cosine): pairs that are each other's best match, ties by id.  Feature tables of a dictionary: the right one is broadcast."""
     a = left.select(F.col(ident).alias("left_id"), F.col(vector).alias("x"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracemill.functions.text import stripped
+from tracemill.operators.grading import boxed
 
 # What the lexical screen looks for.
 PROOF = r"(?i)\b(?:prove|proof|show\s+that|demonstrate\s+that)\b"
@@ -37,9 +38,12 @@ def conversation_pairs(rows: DataFrame) -> DataFrame:
     return t.where(ok).select("conv_id", F.col("t")[0].text.alias("question"), F.col("t")[1].text.alias("answer"))
 
 
-def screen_flags(question: Column) -> Column:
-    """Review flags of a question text; none does not mean that it is fit."""
-    rules = [("missing_question", stripped(F.coalesce(question, F.lit(""))) == ""), ("proof_wording_review", question.rlike(PROOF)), ("visual_dependency_review", question.rlike(VISUAL)), ("cjk_text_review", question.rlike(CJK))]
+def screen_flags(question: Column, reference: Column | None = None) -> Column:
+    """Review flags of a question text, and of its reference if that is given; none does not mean that it is fit."""
+    void = lambda text: stripped(F.coalesce(text, F.lit(""))) == ""
+    rules = [("missing_question", void(question)), *([] if reference is None else [("missing_reference", void(reference))]), ("proof_wording_review", question.rlike(PROOF)), ("visual_dependency_review", question.rlike(VISUAL)), ("cjk_text_review", question.rlike(CJK))]
+    if reference is not None:
+        rules.append(("missing_or_empty_reference_box", F.coalesce(boxed(reference), F.lit("")) == ""))
     return F.array_compact(F.array(*(F.when(ok, F.lit(name)) for name, ok in rules)))
 
 

@@ -105,7 +105,16 @@ def _w4(spark, d):
     return sl.length_labels(t).join(split, "problem_id").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("w5_four_roles")
+@query(
+    "w5_four_roles",
+    """WITH r AS (SELECT problem_id, trace_id, solution_token_count AS c, CAST(trace_id AS VARCHAR) AS i, count(*) OVER p AS n, row_number() OVER (PARTITION BY problem_id ORDER BY solution_token_count, CAST(trace_id AS VARCHAR)) - 1 AS r,
+  quantile_cont(solution_token_count, 0.5) OVER p AS middle, sha256('7|' || trace_id) AS d FROM traces WINDOW p AS (PARTITION BY problem_id)),
+t AS (SELECT *, greatest(1, ceil(n * 0.2::DOUBLE)) AS tail FROM r WHERE n >= 4),
+a AS (SELECT *, CASE WHEN r = floor(tail / 2) THEN 'quantile_short' WHEN r = n - tail + floor((tail - 1) / 2) THEN 'quantile_long' END AS s FROM t),
+b AS (SELECT *, CASE WHEN s IS NULL AND row_number() OVER (PARTITION BY problem_id, s IS NULL ORDER BY abs(c - middle), i) = 1 THEN 'median' ELSE s END AS m FROM a),
+e AS (SELECT *, CASE WHEN m IS NULL AND row_number() OVER (PARTITION BY problem_id, m IS NULL ORDER BY d, i) = 1 THEN 'deterministic_random' ELSE m END AS role FROM b)
+SELECT problem_id, trace_id, role FROM e WHERE role IS NOT NULL""",
+)
 def _w5(spark, d):
     return sl.four_roles(view(spark, d, "traces"), 7)
 
@@ -347,7 +356,7 @@ def _dd4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.question_key(F.col("text")), 256).alias("key"))
 
 
-@query("dd5_instruction_free")
+@query("dd5_instruction_free", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS same FROM documents")
 def _dd5(spark, d):
     asked = F.concat(F.lit("  return your final response within \\boxed{}. "), F.col("text"))
     return table(spark, d, "documents").select("doc_id", (tx.question_key(tx.instruction_free(asked)) == tx.question_key(F.col("text"))).alias("same"))
@@ -388,7 +397,7 @@ comp AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS component FRO
 @query("dd10_components", f"{COMPONENTS} SELECT doc_id AS problem_id, component FROM comp")
 def dd10(spark, d):
     q = _questions(spark, d)
-    return dd.component_ids(q, dd.near_matches(q, q, key=tx.plain_question_key).select("query_id", "reference_id"), "problem_id")
+    return dd.component_ids(q, dd.near_edges(q, key=tx.plain_question_key), "problem_id")
 
 
 @query(

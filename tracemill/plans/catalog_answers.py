@@ -55,14 +55,6 @@ def _j12(spark, d):
     return pr.overlay(o, o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("R")), ["o_orderkey"], "o_orderstatus")
 
 
-@query(
-    "j10_triangles",
-    "WITH e AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey < 200) SELECT x.k AS a, y.k AS b, z.k AS c FROM e x JOIN e y ON x.n = y.n AND x.k % 3 = 0 AND y.k % 3 = 1 JOIN e z ON z.n = x.n AND z.k % 3 = 2",
-)
-def _j10(spark, d):
-    return _triangles(table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k")), "n")
-
-
 @query(
     "j10_triangles_all",
     "WITH e AS (SELECT c_nationkey AS n, c_custkey // 75 AS g, c_custkey AS k FROM customer) SELECT x.k AS a, y.k AS b, z.k AS c FROM e x JOIN e y ON x.n = y.n AND x.g = y.g AND x.k % 3 = 0 AND y.k % 3 = 1 JOIN e z ON z.n = x.n AND z.g = x.g AND z.k % 3 = 2",
