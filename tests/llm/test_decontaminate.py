@@ -33,6 +33,23 @@ def test_blocks_of_items(spark):
     check(spark, *case(3), 5, block_bytes=60)
 
 
+def test_full_filter_changes_nothing(spark):
+    check(spark, *case(3), 7, block_bytes=8, filter_bytes=8)
+
+
+def test_words_and_shingles_of_several_texts():
+    texts = ["", "a b", "Ab--c d", "  ", "a b a b", "é" * 3 + " a b", None]
+    found = d.Words([d.spaced(t) for t in texts])
+    assert found.n.tolist() == [len(d.words_of(t)) for t in texts]
+    at, h = found.shingles(2)
+    same = {}
+    for k, x in zip(at.tolist(), h.tolist(), strict=True):
+        same.setdefault(found.said(k, k + 2), set()).add(x)
+    assert {k: len(v) for k, v in same.items()} == {"a b": 1, "ab c": 1, "c d": 1, "b a": 1, "ééé a": 1}
+    assert len(set.union(*same.values())) == 5
+    assert [len(x) for _, x in d._slices([b"a" * (d.SLICE_BYTES // 2)] * 5)] == [2, 2, 1]
+
+
 def test_nothing(spark):
     docs, items = case(4)
     check(spark, docs[:5], [], 10)
