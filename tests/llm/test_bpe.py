@@ -44,3 +44,24 @@ def test_cache_starts_anew(monkeypatch):
     codec, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
     for text in ["one two three four", "five six seven", "one two"]:
         assert codec.encode([text])[0].tolist() == library.encode(text).ids
+
+
+def test_long_words_as_the_library():
+    pick, codec, library = random.Random(11), bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "éàü", "日本語中", "0123456789", "=-_/"]
+    texts = ["".join(pick.choices(l, k=n)) for l in letters for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000)]
+    texts += ["x" * 5001, "the" * 2000, "".join(pick.choices(letters[0], k=200_000)), "\U0001f600" * 400, " " * 3000]
+    for text in texts:
+        assert codec.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    short = [t for t in texts if len(t.encode()) < 4000]
+    for a, b in zip(codec.merge_rounds([t.encode() for t in short]), map(codec.merge_long, (t.encode() for t in short)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    codec, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    for k in range(20):
+        text = f"{k} " + "ab" * 1000
+        assert codec.encode([text])[0].tolist() == library.encode(text).ids
+        assert codec.held < 5000 + 40_000

@@ -2,24 +2,28 @@
 
 Texts are split into the pattern's pieces, new pieces of a batch are encoded together: the
 symbols of all words lie in one flat array, each round finds every word's lowest-rank pair
-by binary search over the sorted pair keys and merges all its occurrences.  Encoded pieces
-are kept in a bounded cache of the worker.  The vocabulary file is a parameter; executors
+by binary search over the sorted pair keys and merges all its occurrences.  A round merges
+one rank of a word, so words of over ``LONG`` bytes take their pairs from a heap instead, which
+is near linear in their length.  Encoded pieces are kept in a bounded cache of the worker.  The vocabulary file is a parameter; executors
 open it by the same path.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces kept by a worker; beyond that the cache starts anew.
-CACHE = 200_000
+#: Pieces kept by a worker, and bytes of pieces and their ids; beyond either the cache starts anew.
+CACHE, CACHE_BYTES = 200_000, 64 << 20
+#: Bytes of a word from which its pairs wait in a heap.
+LONG = 256
 #: Text characters encoded at a time.
 BATCH_CHARS = 4 << 20
 #: The pattern of the vocabulary's pre-tokenizer.
@@ -80,9 +84,43 @@ class Codec:
         self.words: dict[str, np.ndarray] = {}
         self.flat = [np.zeros(0, np.int32)]
         self.lens: list[int] = []
+        self.held = 0
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of every word."""
+        usual = iter(self.merge_rounds([w for w in words if len(w) <= LONG]))
+        return [next(usual) if len(w) <= LONG else self.merge_long(w) for w in words]
+
+    @cached_property
+    def merge_of(self) -> dict[int, tuple[int, int]]:
+        """(rank, symbol made) of every pair."""
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """One word, its pairs by rank and place from a heap; symbols are linked to their neighbours."""
+        ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        end, get, size = len(ids), self.merge_of.get, self.size
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+        heap = [(m[0], k, m[1], ids[k], ids[k + 1]) for k in range(end - 1) if (m := get(ids[k] * size + ids[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, made, one, two = heapq.heappop(heap)
+            gone = after[k]
+            if ids[k] != one or gone >= end or ids[gone] != two:  # a neighbour has merged since
+                continue
+            ids[k], ids[gone], after[k] = made, -1, after[gone]
+            if after[k] < end:
+                before[after[k]] = k
+                if m := get(made * size + ids[after[k]]):
+                    heapq.heappush(heap, (m[0], k, m[1], made, ids[after[k]]))
+            if (left := before[k]) >= 0 and (m := get(ids[left] * size + made)):
+                heapq.heappush(heap, (m[0], left, m[1], ids[left], made))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
+    def merge_rounds(self, words: list[bytes]) -> list[np.ndarray]:
         """Merge rounds over all words at once."""
+        if not words:
+            return []
         lens = np.array([len(w) for w in words], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
@@ -128,13 +166,16 @@ class Codec:
         parts = [PIECES.findall(p) for p in pieces]
         new = list(dict.fromkeys(w for part in parts for w in part if w not in self.words))
         if new:
-            self.words.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+            made = self.encode_words([w.encode() for w in new])
+            self.words.update(zip(new, made, strict=True))
+            self.held += sum(len(w) + ids.nbytes for w, ids in zip(new, made, strict=True))
         for piece, part in zip(pieces, parts, strict=True):
             ids = [self.words[w] for w in part]
             ids = ids[0] if len(ids) == 1 else np.concatenate(ids)
             self.codes[piece] = len(self.lens)
             self.lens.append(len(ids))
             self.flat.append(ids)
+            self.held += len(piece) + ids.nbytes
 
     def pieces(self, text: str) -> list[str]:
         """Pieces that are encoded by themselves; a special string is one that begins with NUL NUL."""
@@ -151,7 +192,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        if len(self.codes) > CACHE or len(self.words) > CACHE:
+        if len(self.codes) > CACHE or len(self.words) > CACHE or self.held > CACHE_BYTES:
             self.reset()
         cut = [self.pieces(t) for t in texts]
         new = list(dict.fromkeys(p for part in cut for p in part if p not in self.codes))
