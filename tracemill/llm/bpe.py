@@ -4,7 +4,7 @@ Texts are split into the pattern's pieces, new pieces of a batch are encoded tog
 symbols of all words lie in one flat array, each round finds every word's lowest-rank pair
 by binary search over the sorted pair keys and merges all its occurrences.  A round merges
 one rank of a word, so words of over ``LONG`` bytes take their pairs from a heap instead, which
-is near linear in their length.  Encoded pieces are kept in a bounded cache of the worker.  The vocabulary file is a parameter; executors
+is near linear in their length.  Encoded pieces are kept in a bounded cache of the task.  The vocabulary file is a parameter; executors
 open it by the same path.
 """
 
@@ -20,7 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces kept by a worker, and bytes of pieces and their ids; beyond either the cache starts anew.
+from tracemill.llm.chunks import trim
+
+#: Pieces kept by a task, and bytes of pieces and their ids; beyond either the cache starts anew.
 CACHE, CACHE_BYTES = 200_000, 64 << 20
 #: Bytes of a word from which its pairs wait in a heap.
 LONG = 256
@@ -269,6 +271,10 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False, doc_id: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 start += len(texts)
+                del flat, size, raw, le, columns
+                trim()
+        c.reset()
+        trim()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, RESULT + (", ids array<int>" if ids else ""))

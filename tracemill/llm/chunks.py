@@ -7,6 +7,7 @@ only small packed arrays move between tasks.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,14 @@ from tracemill.llm.store import bucketed, shuffle_partitions
 LAST = (1 << 63) - 1
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers are used again and again."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+    pa.default_memory_pool().release_unused()
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; each is laid out byte plane by byte plane."""
     head = [len(arrays)]

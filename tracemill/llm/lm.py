@@ -20,7 +20,6 @@ by monotone pointers.  All are Elias-Fano sequences; a lookup is one successor s
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.llm.chunks import LAST, by_shard, gaps, small, spread, squeeze
+from tracemill.llm.chunks import LAST, by_shard, gaps, small, spread, squeeze, trim
 from tracemill.llm.store import bucketed, shuffle_partitions
 
 CHUNK_BYTES = 10 << 20
@@ -49,13 +48,6 @@ POPCOUNT = np.array([b.bit_count() for b in range(256)], np.uint8)
 NTH_BIT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
-def trim() -> None:
-    """Gives freed memory back to the system, where the C library can: workers are used again and again."""
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if give is not None:
-        give(0)
-
-
 class Bits:
     """A bit sequence with vectorised selection of ones or zeros."""
 
