@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -23,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracemill.llm.chunks import trim
 from tracemill.llm.store import stored
 
 #: Labelled rows that the heads are fitted on.
@@ -32,8 +34,8 @@ LEAST_DOCS, LEAST_Z = 5, 6.0
 BEGINNINGS = (4, 5, 6)
 #: Equal words in a row that count as repetition.
 REPEATS = 4
-#: Words whose features a worker remembers.
-CACHE = 300_000
+#: Words whose features a task remembers, and their characters; beyond either it starts anew.
+CACHE, CACHE_CHARS = 300_000, 8 << 20
 #: Weight of the site's log odds against the document's evidence.
 SITE_WEIGHT = 0.5
 HEADS = ("low", "toxic")
@@ -80,38 +82,30 @@ class Model:
         """A function from texts to two log odds each, with its own bounded cache of words."""
         known: set[str] = set()
         active: dict[str, tuple[str, ...]] = {}
-        table, marks_repeats = self.weights, "repeat" in self.weights
+        table, marks_repeats, held = self.weights, "repeat" in self.weights, 0
 
         def score(text: str | None) -> tuple[float, float]:
+            nonlocal held
             words = (text or "").split()
             own = set(words)
             for w in own - known:
+                held += len(w)
                 if f := tuple(f for f in word_features(w) if f in table):
                     active[w] = f
             known.update(own)
             found = {f for w in own & active.keys() for f in active[w]}
             if marks_repeats and repeats(words):
                 found.add("repeat")
-            if len(known) > CACHE:
+            if len(known) > CACHE or held > CACHE_CHARS:
                 known.clear()
                 active.clear()
+                held = 0
             pairs = [table[f] for f in sorted(found)]
             return self.bias[0] + sum(p[0] for p in pairs), self.bias[1] + sum(p[1] for p in pairs)
 
         return score
 
 
-#: The scorer that this worker used last, with its model's name: tasks of one worker share its cache.
-_LAST: dict[str, object] = {}
-
-
-def _scorer(model: Model):
-    if model.name not in _LAST:
-        _LAST.clear()
-        _LAST[model.name] = model.scorer()
-    return _LAST[model.name]
-
-
 def _fit(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse presence by adaptive gradient steps."""
     w, b = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
@@ -194,9 +188,12 @@ def evidence(model: Model, text: Column) -> Column:
     """struct(low, toxic): log odds of each head."""
 
     @F.pandas_udf("low double, toxic double")
-    def run(parts: pd.Series) -> pd.DataFrame:
-        score = _scorer(model)
-        return pd.DataFrame([score(t) for t in parts], columns=list(HEADS))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = model.scorer()
+        for parts in batches:
+            yield pd.DataFrame([score(t) for t in parts], columns=list(HEADS))
+        del score
+        trim()
 
     return run(text)
 

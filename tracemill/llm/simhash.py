@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.operators.components import components
-from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, small, spread, squeeze
+from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, small, spread, squeeze, trim
 from tracemill.llm.store import discard, shuffle_partitions, stored
 
 SEED = 42
@@ -186,6 +186,8 @@ def _offer(size: int, shards: int):
                 rows = [(s, batch.column("chunk")[k].as_py(), squeeze(gaps(unique[g]), small(count[g]))) for s, g in parts]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), MOVED_TYPES, strict=True)], ["shard", "chunk", "blob"])
+                del unique, parts, rows
+                trim()
 
     return run
 
@@ -220,6 +222,7 @@ def _marked(size: int, similarity: float, shards: int):
     its blocks: shingle h at place k, rarest first, as far as similar sets must share one (``h`` null: none)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         rows = []
         replies = dict(zip(right.column("shard").to_pylist(), right.column("blob"), strict=True))
         for c in range(left.num_rows):  # one
@@ -397,6 +400,7 @@ def near_unique(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     kept = kept.select((F.shiftleft(part, 32) + number).alias("chunk"), F.col("uid").bitwiseAND((1 << 20) - 1).alias("row"))
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         rows = np.sort(right.column("row").to_numpy())
         if not len(rows):
             return pa.table({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string()), "rest": pa.array([], pa.string())})

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, ragged, spread, squeeze
+from tracemill.llm.chunks import LAST, Chunk, by_shard, gaps, packed, ragged, spread, squeeze, trim
 from tracemill.llm.store import shuffle_partitions
 
 ANCHOR = 24
@@ -147,6 +147,8 @@ def _offer(length: int, shards: int):
                 out = [(s, squeeze(gaps(least[g]), several[g])) for s, g in by_shard((least % np.uint64(shards)).astype(np.int64))]
                 if out:
                     yield from _rows([s for s, _ in out], batch.column("chunk")[k].as_py(), [b for _, b in out]).to_batches()
+                del least, place, order, head, several, group, out
+                trim()
 
     return run
 
@@ -206,6 +208,7 @@ def _ask(length: int, shards: int):
     """Step 2, of a chunk: settle what it can, send the bytes of the other windows in question."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not left.num_rows or not right.num_rows:
             return _rows([], 0, [])
         chunk, number = Chunk.of(left), left.column("chunk")[0].as_py()
@@ -233,6 +236,7 @@ def _answer(length: int):
     """Step 3, of a shard: the windows that a smaller document has, by the levelled index."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         chunks = table.column("chunk").to_pylist()
         if table.column("shard")[0].as_py() < 0:
             return table.select(["chunk", "blob"])
@@ -266,6 +270,7 @@ def _cut(length: int, texts: bool):
     """Step 3, of a chunk: cover the matched windows and remove them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         chunk = Chunk.of(left)
         data, starts = chunk.data, chunk.starts
         change = np.zeros(len(data) + 1, np.int32)
