@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracemill.llm.bpe import Codec
+from tracemill.llm.bpe import PIECES, Codec
 from tracemill.llm.chunks import ragged, spread, squeeze, trim
 from tracemill.llm.store import stored
 
-#: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 8 << 20
+#: Characters of text in a chunk; a longer text is a chunk of its own.  Units aligned at a time.
+CHUNK_CHARS, STEP = 4 << 20, 50_000
 #: Units kept by a task, and characters of units and their groups; beyond either the cache starts anew.
 CACHE, CACHE_CHARS = 300_000, 64 << 20
 #: A space after anything but white space.
@@ -64,18 +64,25 @@ class PieceModel:
         return self.token_bytes[ragged(self.token_at[ids], self.token_len[ids])]
 
 
-@lru_cache(maxsize=1)
-def plain_codec(path: str) -> Codec:
-    """The byte-level codec; strings of special tokens are plain text."""
-    made = Codec(path)
-    made.special, made.split = {}, None
-    return made
+codec = lru_cache(maxsize=1)(Codec)
+
+
+def byte_ids(a: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another and their number for each text; strings of special tokens are plain text."""
+    parts = [PIECES.findall(t) for t in texts]
+    place: dict[str, int] = {}
+    code = np.fromiter((place.setdefault(w, len(place)) for part in parts for w in part), np.int64, sum(map(len, parts)))
+    made = a.encode_words([w.encode() for w in place])
+    lens = np.fromiter(map(len, made), np.int64, len(made))
+    n = np.bincount(np.repeat(np.arange(len(texts)), list(map(len, parts))), weights=lens[code], minlength=len(texts))
+    return np.concatenate([np.zeros(0, np.int32), *made])[ragged((np.cumsum(lens) - lens)[code], lens[code])], n.astype(np.int64)
 
 
 def groups_of(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of A and of B in each span up to a both-label."""
     spans = SPAN.findall(labels)
-    count = lambda mark: np.fromiter((s.count(mark) + 1 for s in spans), np.int64, len(spans))
+    kinds = set(spans)
+    count = lambda mark: np.fromiter(map({s: s.count(mark) + 1 for s in kinds}.__getitem__, spans), np.int64, len(spans))
     return count(b"A"), count(b"B")
 
 
@@ -83,7 +90,7 @@ class Book(dict):
     """Units by number, with what their alignment gives; a unit is kept without the space in front of it."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = plain_codec(a_path), PieceModel(b_path)
+        self.a, self.b = codec(a_path), PieceModel(b_path)
         self.reset()
 
     def reset(self) -> None:
@@ -93,7 +100,6 @@ class Book(dict):
         self.facts = np.zeros((0, 4), np.int64)  # tokens of A, tokens of B, groups, bad
         self.links = [np.zeros(0, np.int64)]
         self.held = 0
-        self.a.reset()
 
     def __missing__(self, unit: str) -> int:
         self[unit] = code = len(self)
@@ -112,12 +118,14 @@ class Book(dict):
     def learn(self) -> None:
         """Align the units met since the last call."""
         units, self.new = self.new, []
-        if not units:
-            return
+        for at in range(0, len(units), STEP):
+            self._learn(units[at : at + STEP])
+
+    def _learn(self, units: list[str]) -> None:
         raw = [f" {u}".encode() for u in units]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        a_ids, a_n = self.a.encode([f" {u}" for u in units])
+        a_ids, a_n = byte_ids(self.a, [f" {u}" for u in units])
         b_ids, b_n = self.b.encode(units)
         ok = self._same(self.a, a_ids, a_n, flat, size) & self._same(self.b, b_ids, b_n, flat, size)
         a_ids, b_ids = a_ids[np.repeat(ok, a_n)].astype(np.int64), b_ids[np.repeat(ok, b_n)]
@@ -218,6 +226,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "do
                 if size >= chunk_chars:
                     yield _chunk(book, (part << 32) + number, ids, texts)
                     number, ids, texts, size = number + 1, [], [], 0
+                    trim()
         if ids:
             yield _chunk(book, (part << 32) + number, ids, texts)
         book.reset()
