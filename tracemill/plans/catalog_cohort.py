@@ -69,8 +69,8 @@ def _sx8(spark, d):
     return _forms(spark, d, *QUANTITIES).select("k", an.quantity_grades("t", F.lit("7.0")).alias("x")).select("k", F.col("x.is_correct").alias("ok"))
 
 
-TYPED = [  # reference, prediction, question, whether right; from 1 to 1 both intervals are empty
-    ("(1,N]", "\\boxed{(1, N]}", "interval", "true"), ("(1,N)", "\\boxed{(1,N]}", "interval", "n = '1'"), ("(1,2]\\cup(2,1N)", "x \\boxed{(1,1N)}", "domain", "true"),
+TYPED = [  # reference, prediction, question, whether right; from 1 to 1 or down to 0 both intervals are empty
+    ("(1,N]", "\\boxed{(1, N]}", "interval", "true"), ("(1,N)", "\\boxed{(1,N]}", "interval", "n IN ('0', '1')"), ("(1,2]\\cup(2,1N)", "x \\boxed{(1,1N)}", "domain", "true"),
     ("101_2", "\\boxed{101_{2}}", "in base 2", "true"), ("N.50", "\\boxed{N.5}", "", "true"), ("\\frac{N}{2}", "\\boxed{N/2}", "", "true"), ("N", "answer N", "", "false"),
     ("(N,2,3)", "\\boxed{(N,2,4)}", "", "false"), ("B", "\\boxed{\\text{(b)}}", "which option", "true"), ("12:30", "\\boxed{12:30}", "what time", "true"), ("N", "\\boxed{N,1}", "", "false"),
 ]
