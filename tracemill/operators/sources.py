@@ -62,10 +62,3 @@ def problem_records(df: DataFrame, question: str, answer: str, ident: str | None
     own = F.col(ident).cast("string") if ident else F.format_string("hf-%06d", F.col(ordinal))
     rest = [c for c in df.columns if c not in (question, answer, ident)]
     return df.select(own.alias("problem_id"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.to_json(F.struct(*rest)).alias("metadata"))
-
-
-def clean_positions(tokens: DataFrame, excluded: list[str], tail: int) -> DataFrame:
-    """Token rows before the tail that hold a letter or digit, no backslash and no excluded word; needs length and text."""
-    word = F.lower(F.trim("text"))
-    ok = (F.col("position") < F.col("length") - tail) & ~F.contains("text", F.lit("\\")) & F.col("text").rlike(r"[\p{L}\p{N}]") & ~word.isin(excluded)
-    return tokens.where(ok)

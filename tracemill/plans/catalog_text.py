@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.operators import answers as an
+from tracemill.operators import answers as an, regions as rg, variants as va
 from tracemill.plans.catalog import query
 from tracemill.plans.fixtures import table
 
@@ -132,3 +132,82 @@ def _sx16(spark, d):
     kind = _chosen([r[0] for r in QUANTITIES])
     rows = _items(spark, d, len(QUANTITIES)).withColumn("x", values(_chosen([r[1] for r in QUANTITIES]), kind))
     return rows.select("l_orderkey", "l_linenumber", "x.status", "x.value")
+
+
+# Variants and steps
+
+WORKED = """worked AS (SELECT doc_id, text, n_chars % 97 AS a, doc_id % 13 AS b, (n_chars % 97) * (doc_id % 13) AS c,
+(n_chars % 97) * (doc_id % 13) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS shown FROM documents WHERE NOT contains(text, '####')),
+plain AS (SELECT *, regexp_replace(text, '<<[^<>]*>>', '', 'g') || chr(10) || 'So ' || a || '*' || b || '=' AS lead FROM worked),
+made AS (SELECT *, lead || shown || '.' || chr(10) AS body, c || '' AS gold, left(shown || '', -1) || ((right(shown || '', 1)::BIGINT + 1) % 10) AS wrong FROM plain),
+v AS (SELECT doc_id, 'reference' AS variant, body || 'Answer: ' || gold AS said, 0 AS lost, NULL AS start, NULL AS replacement, 8 + length(body) + length(gold) AS size FROM made
+UNION ALL SELECT doc_id, 'result_marker', body || 'Result: ' || gold, 5, NULL, NULL, 8 + length(body) + length(gold) FROM made
+UNION ALL SELECT doc_id, 'no_marker', body || gold, 8, NULL, NULL, 8 + length(body) + length(gold) FROM made
+UNION ALL SELECT doc_id, 'neutral_note', 'The label in this note is Entry.' || chr(10) || body || 'Answer: ' || gold, 0, NULL, NULL, 8 + length(body) + length(gold) FROM made
+UNION ALL SELECT doc_id, 'answer_note', 'The label in this note is Answer.' || chr(10) || body || 'Answer: ' || gold, 0, NULL, NULL, 8 + length(body) + length(gold) FROM made
+UNION ALL SELECT doc_id, 'wrong_calculation', lead || wrong || '.' || chr(10) || 'Answer: ' || gold, 1, length(lead), wrong, 8 + length(body) + length(gold) FROM made WHERE shown = c)"""
+
+
+@query("sx15_variants", f"WITH {WORKED} SELECT doc_id, variant, sha256(said) AS text_sha256, size - lost AS kept_chars, CAST(start AS INT) AS start, replacement FROM v")
+def _sx15(spark, d):
+    docs = table(spark, d, "documents").withColumns({"a": F.col("n_chars") % 97, "b": F.col("doc_id") % 13})
+    shown = F.col("a") * F.col("b") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    worked = F.concat("text", F.lit("\nSo "), "a", F.lit("*"), "b", F.lit("=<<"), "a", F.lit("*"), "b", F.lit("="), shown, F.lit(">>"), shown, F.lit(".\n#### "), F.col("a") * F.col("b"))
+    made = va.reference_variants(docs.select("doc_id", worked.alias("worked")), "worked")
+    same = F.filter("alignment", lambda x: x.operation == "equal")
+    kept = F.aggregate(same, F.lit(0), lambda n, x: n + x.base_end - x.base_start)
+    return made.select("doc_id", "variant", F.sha2("text", 256).alias("text_sha256"), kept.cast("long").alias("kept_chars"), "mutation.start", "mutation.replacement")
+
+
+@query("sx10_steps")
+def _sx10(spark, d):
+    """Steps of every document with an answer put behind it; tested against the plain function."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\nAnswer: "), "n_chars").alias("text"))
+    offsets = rg.word_tokens(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("offsets"))
+    return va.step_rows(docs.join(offsets, "doc_id"), "text", "offsets").drop("text", "offsets")
+
+
+# Regions and spans
+
+TOKENS = r"""pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS nth FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+[ \t\n\r]*|^[ \t\n\r]+') AS p FROM documents)),
+words AS (SELECT doc_id, nth, rtrim(piece, ' ' || chr(9) || chr(10) || chr(13)) AS token,
+  coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pieces),
+tokens AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS position, start, start + length(token) AS stop, token FROM words WHERE token <> '')"""
+MARKER = "[0-9]{2,}[^0-9]{1,30}"
+
+
+@query(
+    "sx9_region_masks",
+    rf"""WITH {TOKENS}, heads AS (SELECT doc_id, regexp_matches(text, '{MARKER}') AS there, length(regexp_extract(text, '\A((?s:.*?))({MARKER})', 1)) AS a, length(regexp_extract(text, '\A((?s:.*?))({MARKER})', 2)) AS n FROM documents)
+SELECT doc_id, count(*) FILTER (NOT there OR stop <= a) AS n_body, count(*) FILTER (there AND stop > a AND start < a + n) AS n_marker, count(*) FILTER (there AND stop > a AND start >= a + n) AS n_suffix
+FROM tokens JOIN heads USING (doc_id) GROUP BY doc_id""",
+)
+def _sx9(spark, d):
+    docs = table(spark, d, "documents")
+    heads = docs.select("doc_id", rg.first_span(F.col("text"), MARKER).alias("x")).where("x is not null").select("doc_id", "x.*")
+    masked = rg.with_regions(rg.word_tokens(docs, "doc_id", "text"), heads, "doc_id")
+    return masked.groupBy("doc_id").agg(*(F.count_if(F.col("region") == i).alias(n) for i, n in enumerate(("n_body", "n_marker", "n_suffix"))))
+
+
+@query("sx9_covered_tokens", rf"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (regexp_matches(token, '[0-9]')) AS n_covered FROM tokens GROUP BY doc_id")
+def _sx9_cover(spark, d):
+    """Tokens that overlap a run of digits, by the sweep; the SQL asks which tokens hold a digit."""
+    docs = table(spark, d, "documents")
+    runs = rg.placed(docs, "doc_id", "text", "[0-9]+|[^0-9]+").where(F.col("piece").rlike("^[0-9]"))
+    spans = runs.select("doc_id", "start", (F.col("start") + F.char_length("piece")).alias("end"))
+    covered = rg.with_cover(rg.word_tokens(docs, "doc_id", "text"), spans, "doc_id")
+    return covered.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("covered").alias("n_covered"))
+
+
+@query(
+    "pf5_eligible_positions",
+    rf"""WITH {TOKENS}, heads AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{MARKER}') THEN length(regexp_extract(text, '\A((?s:.*?))({MARKER})', 1)) END AS a FROM documents),
+ok AS (SELECT doc_id, position, count(*) OVER (PARTITION BY doc_id) AS n, (a IS NULL OR stop <= a) AND NOT contains(token, chr(92)) AND regexp_matches(token, '[\p{{L}}\p{{N}}]')
+  AND NOT list_has_any(regexp_extract_all(lower(token), '[a-z]+'), ['the', 'and', 'die', 'und']) AS fit FROM tokens LEFT JOIN heads USING (doc_id))
+SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS r FROM ok WHERE fit AND position < n - 5 AND position < 400) WHERE r <= 64""",
+)
+def _pf5(spark, d):
+    docs = table(spark, d, "documents")
+    heads = docs.select("doc_id", rg.first_span(F.col("text"), MARKER).alias("x")).where("x is not null").select("doc_id", "x.*")
+    tokens = rg.word_tokens(docs, "doc_id", "text")
+    return rg.eligible_positions(tokens, heads, "doc_id", ["the", "and", "die", "und"], tail=5, most=400, count=64).select("doc_id", "position")
