@@ -187,29 +187,72 @@ def paired_features(values: DataFrame) -> DataFrame:
     return x.select("feature_id", "questions", "effect", "sd", "d", "t", F.col("__x.p").alias("p"), (F.col("effect") - F.col("__x.half")).alias("low"), (F.col("effect") + F.col("__x.half")).alias("high"))
 
 
-def fixed_effects(df: DataFrame, group: str, outcome: str, predictors: list[str]) -> dict:
-    """Within-group least squares with cluster-robust errors; the driver sees sums of products only.
+FIT = "beta array<double>, inverse array<double>, rank int"
+ERRORS = "clustered array<double>, naive array<double>"
+
+
+def fixed_effect_table(df: DataFrame, families: list[str], group: str, outcome: str, predictors: list[str]) -> DataFrame:
+    """Within-group least squares for every family: a row for each family and predictor.
 
-    Groups of one row do not enter the fit but count as questions.
+    (families, predictor, beta, se_clustered, se_naive, observations, questions, clusters, rank): coefficients of least norm,
+    errors clustered by group (CR1) and plain ones.  Groups of one row do not enter the fit but count as questions; rows
+    with a null in a column that is used are left out; a family without degrees of freedom or with fewer than two clusters
+    has null errors.  One aggregate gives the centred products of each (family, group), combined before its shuffle, and
+    all else follows from those: no rows are read again, and a group or family of any size is no single task's.
     """
-    w = Window.partitionBy(group)
-    sizes = df.withColumn("__n", F.count("*").over(w))
-    cols = [outcome, *predictors]
-    inner = sizes.where("__n > 1").select(group, *((F.col(c) - F.avg(c).over(w)).alias(c) for c in cols))
-    k = len(predictors)
-    sums = inner.agg(F.count("*").alias("n"), F.countDistinct(group).alias("g"), *(F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(predictors) for j, b in enumerate(cols))).first()
-    xx = np.array([[sums[f"s{i}_{j + 1}"] for j in range(k)] for i in range(k)], float)
-    xy = np.array([sums[f"s{i}_0"] for i in range(k)], float)
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ xy
-    residual = F.col(outcome) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, predictors, strict=True)), F.lit(0.0))
-    score = inner.withColumn("__e", residual).groupBy(group).agg(*(F.sum(F.col(c) * F.col("__e")).alias(f"u{i}") for i, c in enumerate(predictors)))
-    meat_row = score.agg(*(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
-    meat = np.array([[meat_row[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
-    g, n = sums["g"], sums["n"]
-    scale = g / (g - 1) * (n - 1) / max(1, n - g - k)
-    errors = np.sqrt(np.maximum(0, np.diag(inverse @ meat @ inverse) * scale))
-    return {"beta": dict(zip(predictors, beta.tolist(), strict=True)), "se": dict(zip(predictors, errors.tolist(), strict=True)), "rows": n, "clusters": g, "questions": df.select(group).distinct().count()}
+    cols, k = [outcome, *predictors], len(predictors)
+    at = {(i, j): f"__c{min(i, j)}_{max(i, j)}" for i in range(k + 1) for j in range(k + 1)}
+    products = [(F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) * F.count("*")).alias(at[i, j]) for i in range(k + 1) for j in range(i, k + 1)]
+    whole = df.dropna(subset=cols)
+    groups = whole.groupBy(*families, group).agg(F.count("*").alias("__n"), *products)
+    inside = F.col("__n") > 1
+    total = lambda c: F.sum(F.when(inside, F.col(c))).alias(c)
+    sums = groups.groupBy(*families).agg(F.sum(F.when(inside, F.col("__n"))).alias("observations"), F.count_if(inside).alias("clusters"), F.count("*").alias("questions"), *(total(c) for c in dict.fromkeys(at.values())))
+
+    @F.pandas_udf(FIT)
+    def solved(gram: pd.Series, moments: pd.Series) -> pd.DataFrame:
+        made = []
+        for g, m in zip(gram, moments, strict=True):
+            x = np.array(g, float).reshape(k, k)
+            inverse = np.linalg.pinv(x, rcond=1e-10, hermitian=True)
+            made.append(((inverse @ np.array(m, float)).tolist(), inverse.reshape(-1).tolist(), int(np.linalg.matrix_rank(x, tol=1e-10 * max(np.abs(x).max(), 1e-300), hermitian=True))))
+        return pd.DataFrame(made, columns=["beta", "inverse", "rank"])
+
+    @F.pandas_udf(ERRORS)
+    def errors(inverse: pd.Series, meat: pd.Series, rest: pd.Series, n: pd.Series, clusters: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        made = []
+        for i, m, r, o, c, q in zip(inverse, meat, rest, n, clusters, rank, strict=True):
+            if o <= q or c < 2:
+                made.append((None, None))
+                continue
+            bread, scores = np.array(i, float).reshape(k, k), np.array(m, float).reshape(k, k)
+            scale = c / (c - 1) * (o - 1) / max(1, o - q)
+            made.append(tuple(np.sqrt(np.maximum(0, np.diag(x))).tolist() for x in (bread @ scores @ bread * scale, bread * max(r, 0.0) / (o - q))))
+        return pd.DataFrame(made, columns=["clustered", "naive"])
+
+    gram = F.array(*(F.coalesce(at[i, j], F.lit(0.0)) for i in range(1, k + 1) for j in range(1, k + 1)))
+    fitted = sums.withColumn("__fit", solved(gram, F.array(*(F.coalesce(at[i, 0], F.lit(0.0)) for i in range(1, k + 1)))))
+    beta = [F.col("__fit.beta")[i] for i in range(k)]
+    named = fitted.select(*(F.col(f).alias(f"__k{i}") for i, f in enumerate(families)), "__fit")
+    joined = groups.where(inside).join(named, [F.col(f).eqNullSafe(F.col(f"__k{i}")) for i, f in enumerate(families)])
+    # a group's score for predictor i: its products with the outcome less those with what is fitted
+    score = [F.col(at[i, 0]) - sum((b * F.col(at[i, j + 1]) for j, b in enumerate(beta)), F.lit(0.0)) for i in range(1, k + 1)]
+    rest = F.col(at[0, 0]) - sum((b * (F.col(at[j + 1, 0]) + score[j]) for j, b in enumerate(beta)), F.lit(0.0))
+    scored = joined.select(*families, *(s.alias(f"__u{i}") for i, s in enumerate(score)), rest.alias("__r"))
+    meat = scored.groupBy(*families).agg(F.array(*(F.sum(F.col(f"__u{i}") * F.col(f"__u{j}")) for i in range(k) for j in range(k))).alias("__meat"), F.sum("__r").alias("__rest"))
+    meat = meat.select(*(F.col(f).alias(f"__m{i}") for i, f in enumerate(families)), "__meat", "__rest")
+    both = fitted.join(meat, [F.col(f).eqNullSafe(F.col(f"__m{i}")) for i, f in enumerate(families)], "left")
+    done = both.withColumn("__e", errors("__fit.inverse", F.coalesce("__meat", F.array(*[F.lit(0.0)] * (k * k))), F.coalesce("__rest", F.lit(0.0)), F.coalesce("observations", F.lit(0)), "clusters", "__fit.rank"))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("predictor"), F.col("__fit.beta")[i].alias("beta"), F.col("__e.clustered")[i].alias("se_clustered"), F.col("__e.naive")[i].alias("se_naive")) for i, p in enumerate(predictors)))).alias("__x")
+    rows = done.select(*families, each, F.coalesce("observations", F.lit(0)).alias("observations"), "questions", "clusters", F.col("__fit.rank").alias("rank"))
+    return rows.select(*families, "__x.*", "observations", "questions", "clusters", "rank")
+
+
+def fixed_effects(df: DataFrame, group: str, outcome: str, predictors: list[str]) -> dict:
+    """The one family of all rows of ``fixed_effect_table``, as a report: a row for each predictor comes to the driver."""
+    rows = fixed_effect_table(df.withColumn("__all", F.lit(1)), ["__all"], group, outcome, predictors).collect()
+    first = rows[0]
+    return {"beta": {r["predictor"]: r["beta"] for r in rows}, "se": {r["predictor"]: r["se_clustered"] for r in rows}, "rows": first["observations"], "clusters": first["clusters"], "questions": first["questions"]}
 
 
 def contrasts(cells: DataFrame, coefficients: dict[str, float], cell: str, on: list[str], value: str) -> DataFrame:

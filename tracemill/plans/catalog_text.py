@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.operators import answers as an, regions as rg, variants as va
+from tracemill.operators import answers as an, layouts as ly, lineage as ln, regions as rg, stats as st, variants as va
+from tracemill.operators.store import scratch
 from tracemill.plans.catalog import query
 from tracemill.plans.fixtures import table
+from tracemill.streaming.batches import ChunkAppend, RunningCounts
 
 # Answers made of the numbers of every line item: q, n, s are its quantity, its number and its supplier, odd says whether
 # its part divides by three.  Letters in braces stand for numbers; the SQL decides by arithmetic of its own.
@@ -211,3 +213,107 @@ def _pf5(spark, d):
     heads = docs.select("doc_id", rg.first_span(F.col("text"), MARKER).alias("x")).where("x is not null").select("doc_id", "x.*")
     tokens = rg.word_tokens(docs, "doc_id", "text")
     return rg.eligible_positions(tokens, heads, "doc_id", ["the", "and", "die", "und"], tail=5, most=400, count=64).select("doc_id", "position")
+
+
+# Streams, shards, layouts
+
+
+@query("s217_running_counts", "SELECT event_type, count(*) AS n, CAST(sum(event_id % 1000) AS BIGINT) AS total FROM events GROUP BY event_type")
+def _s217(spark, d):
+    """Counters of all events, read as a stream that is stopped half-way and goes on from its checkpoint."""
+    base = scratch(spark)
+    events = table(spark, d, "events").select("event_id", "event_type")
+    for half in range(2):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).repartition(3).write.mode("append").parquet(f"{base}/landed")
+        counts = RunningCounts(f"{base}/counts", ["event_type"], {"total": "event_id % 1000"})  # a new one, as after a restart
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
+        stream.writeStream.foreachBatch(counts).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return counts.now(spark)
+
+
+@query("s217_chunks", "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 4096 AS BIGINT) AS chunk, event_id FROM events")
+def _s217_chunks(spark, d):
+    """All events appended batch by batch to chunks of 4,096, numbered through."""
+    base = scratch(spark)
+    events = table(spark, d, "events").select("event_id").repartitionByRange(4, "event_id")
+    keep = ChunkAppend(f"{base}/chunks", ["event_id"], 4096)
+    cuts = events.select(F.expr("approx_percentile(event_id, array(0.25, 0.5, 0.75))").alias("q")).first()["q"] or [0]
+    bounds = [None, *sorted(set(cuts)), None]
+    for batch, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        inside = F.lit(True) if low is None else F.col("event_id") > low
+        keep(events.where(inside if high is None else inside & (F.col("event_id") <= high)), batch)
+    return keep.now(spark).select("chunk", "event_id")
+
+
+@query("io11_shard_union", "SELECT CAST(l_linenumber AS VARCHAR) AS shard, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
+def _io11(spark, d):
+    """All line items written as shards with a manifest, verified, and read as one table."""
+    root = scratch(spark)
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"), "l_linenumber")
+    ln.write_shards(rows, root, F.col("l_linenumber"), '{"by": "line number"}')
+    return ln.shard_union(spark, root, '{"by": "line number"}').groupBy("shard").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"))
+
+
+LAYOUTS = {  # five tables as five sources: (index, layout)
+    "documents": ("doc_id", ly.Layout(question=("$.text",), answer=(("$.source", "as_is"),), unique_id="$.doc_id", scope={"$.lang": "en"})),
+    "benchmark": ("item_id", ly.Layout(question=("$.text",), answer=(("$.item_id", "as_is"),))),
+    "conversations": ("conv_id", ly.Layout(question=("$.role", "$.text"), answer=(("$.none", "as_is"), ("$.turn", "as_is")), details={"role": "$.role"})),
+    "pages": ("page_id", ly.Layout(question=("$.url",), answer=(("$.html", "final_answer"), ("$.page_id", "as_is")), reference="$.url")),
+    "part": ("p_partkey", ly.Layout(question=("$.p_name",), answer=(("$.p_brand", "as_is"),), absent=("$.p_comment",), details={"size": "$.p_size"})),
+}
+RAW = {  # question, answer, reason and, of pages, their own answer is asked for by its form only
+    "documents": ("text", "source", "CASE WHEN lang IS DISTINCT FROM 'en' THEN 'outside_scope' END"),
+    "benchmark": ("text", "CAST(item_id AS VARCHAR)", "NULL"),
+    "conversations": ("concat_ws(chr(10), role, text)", "CAST(turn AS VARCHAR)", "NULL"),
+    "part": ("p_name", "p_brand", "NULL"),
+}
+
+
+def _io6_sql() -> str:
+    parts = []
+    for name, (q, a, why) in RAW.items():
+        i = LAYOUTS[name][0]
+        blank = f"CASE WHEN regexp_matches(coalesce({q}, ''), '^\\s*$') THEN 'missing_question' WHEN regexp_matches(coalesce({a}, ''), '^\\s*$') THEN 'missing_answer' END"
+        parts.append(f"SELECT '{name}' AS dataset, CAST({i} AS BIGINT) AS source_index, printf('{name}-%05d', {i}) AS problem_id, sha256(coalesce({q}, '')) AS question_sha256, CASE WHEN NOT regexp_matches({a}, '^\\s*$') THEN {a} END AS answer, coalesce({why}, {blank}) AS rejected FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+@query("io6_layouts", _io6_sql())
+def _io6(spark, d):
+    """Four tables of different layouts as records; rows out of scope keep their reason."""
+    raw = lambda n, i: table(spark, d, n).select(F.col(i).alias("source_index"), F.to_json(F.struct("*")).alias("row"))
+    made = ly.union_of_layouts({n: (raw(n, i), layout) for n, (i, layout) in LAYOUTS.items() if n in RAW})
+    return made.select("dataset", "source_index", "problem_id", F.sha2("question", 256).alias("question_sha256"), "answer", "rejected")
+
+
+@query(
+    "io6_page_layout",
+    "SELECT CAST(page_id AS BIGINT) AS source_index, url AS question, url AS reference_solution, CASE WHEN regexp_matches(coalesce(url, ''), '^\\s*$') THEN 'missing_question' END AS rejected FROM pages",
+)
+def _io6_pages(spark, d):
+    """Web pages as a fifth layout: the answer marked in the page, else its number."""
+    i, layout = LAYOUTS["pages"]
+    raw = table(spark, d, "pages").select(F.col(i).alias("source_index"), F.to_json(F.struct("*")).alias("row"))
+    return ly.adapted(raw, "pages", layout).select("source_index", "question", "reference_solution", "rejected")
+
+
+# Regression within groups
+
+
+@query(
+    "st12_fixed_effects",
+    """WITH r AS (SELECT l_returnflag || l_linestatus AS family, l_suppkey AS g, l_extendedprice AS y, l_quantity AS x, l_discount * 100 AS z FROM lineitem),
+d AS (SELECT family, g, y - avg(y) OVER w AS y, x - avg(x) OVER w AS x, z - avg(z) OVER w AS z, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY family, g)),
+s AS (SELECT family, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, count(*) AS n, count(DISTINCT g) AS c FROM d WHERE n > 1 GROUP BY family),
+b AS (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM s),
+u AS (SELECT family, g, sum(x * (y - b1 * x - b2 * z)) AS u1, sum(z * (y - b1 * x - b2 * z)) AS u2, sum((y - b1 * x - b2 * z) ** 2) AS rest FROM d JOIN (SELECT family, b1, b2 FROM b) USING (family) WHERE d.n > 1 GROUP BY ALL),
+m AS (SELECT family, sum(u1 * u1) AS m11, sum(u1 * u2) AS m12, sum(u2 * u2) AS m22, sum(rest) AS rest FROM u GROUP BY family),
+q AS (SELECT family, count(DISTINCT g) AS questions FROM r GROUP BY family),
+e AS (SELECT *, c / (c - 1) * (n - 1) / (n - 2) / (det * det) AS k FROM b JOIN m USING (family) JOIN q USING (family))
+SELECT family, 'quantity' AS predictor, round(b1, 5) AS beta, round(sqrt(k * (zz * zz * m11 - 2 * zz * xz * m12 + xz * xz * m22)), 5) AS se_clustered, round(sqrt(zz / det * rest / (n - 2)), 5) AS se_naive, n AS observations, questions, c AS clusters, 2 AS rank FROM e
+UNION ALL SELECT family, 'discount', round(b2, 5), round(sqrt(k * (xz * xz * m11 - 2 * xx * xz * m12 + xx * xx * m22)), 5), round(sqrt(xx / det * rest / (n - 2)), 5), n, questions, c, 2 FROM e""",
+)
+def _st12(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("family"), F.col("l_suppkey").alias("g"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 100).alias("discount"))
+    fitted = st.fixed_effect_table(rows, ["family"], "g", "y", ["quantity", "discount"])
+    return fitted.select("family", "predictor", *(F.round(c, 5).alias(c) for c in ("beta", "se_clustered", "se_naive")), "observations", "questions", "clusters", "rank")
