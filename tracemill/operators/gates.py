@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracemill.operators.stats import crossed_bootstrap, hash_bootstrap, holm, mcnemar, sign_agreement, sign_test, spearman
+from tracemill.operators.stats import crossed_bootstrap, draw_summary, hash_bootstrap, holm, mcnemar_p, sign_agreement, sign_test, spearman
 
 
 def rank_metrics(rows: DataFrame, group: str, outcome: str, metrics: dict[str, str]) -> DataFrame:
@@ -28,12 +28,7 @@ def rank_contrasts(correlations: DataFrame, group: str, primary: str, baselines:
     own = correlations.where(F.col("metric") == primary).select(group, F.col("rho").alias("__p"))
     pairs = correlations.where(F.col("metric").isin(baselines)).join(own, group).select(F.col("metric").alias("right"), group, (F.col("__p") - F.col("rho")).alias("effect"))
     draws = hash_bootstrap(pairs, ["right"], group, "effect", samples, seed)
-    place = F.row_number().over(Window.partitionBy("right").orderBy("mean")) - 1
-    low, high = max(0, int(0.025 * samples) - 1), min(samples - 1, int(0.975 * samples))
-    ends = draws.withColumn("k", place).groupBy("right").agg(
-        F.max(F.when(F.col("k") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("mean"))).alias("high"),
-        F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("int")), F.avg((F.col("mean") >= 0).cast("int")))).alias("p"),
-    )
+    ends = draw_summary(draws, ["right"], samples)
     out = holm(pairs.groupBy("right").agg(F.avg("effect").alias("estimate"), F.count("*").alias("questions")).join(ends, "right"), "p")
     return out.select(F.lit(primary).alias("left"), "right", "estimate", "questions", "low", "high", "p", "p_holm", ((F.col("low") > 0) & (F.col("p_holm") < 0.05)).alias("passed"))
 
@@ -101,7 +96,7 @@ def confirmation_tests(pairs: DataFrame, metric: str, binary: list[str], samples
     """
     both = pairs.where("left_value is not null and right_value is not null").withColumn("x", F.col("left_value").cast("double") - F.col("right_value").cast("double"))
     counts = both.groupBy(metric).agg(F.count("*").alias("n"), F.avg("x").alias("mean_difference"), F.count_if(F.col("x") > 0).alias("wins"), F.count_if(F.col("x") < 0).alias("losses"))
-    exact = counts.where(F.col(metric).isin(binary)).select(metric, F.udf(mcnemar, "double")("wins", "losses").alias("p"))
+    exact = counts.where(F.col(metric).isin(binary)).select(metric, mcnemar_p("wins", "losses").alias("p"))
 
     def run(pdf):
         return pdf.iloc[:1][[metric]].assign(p=sign_test(pdf["x"].tolist(), samples, seed))

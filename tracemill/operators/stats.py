@@ -4,33 +4,24 @@ from __future__ import annotations
 
 import math
 import random
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
+from tracemill.operators.scan import adjusted
 from tracemill.operators.select import rank_with_ties
 
 
 def holm(df: DataFrame, p: str, *family: str, name: str = "p_holm") -> DataFrame:
-    """Step-down adjustment within a family; null and NaN p-values do not count and get 1."""
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    own = Window.partitionBy(*family, ok)
-    ranked = df.withColumns({"__m": F.count("*").over(own), "__r": F.row_number().over(own.orderBy(p))})
-    step = F.least(F.lit(1.0), (F.col("__m") - F.col("__r") + 1) * F.col(p))
-    run = F.max(step).over(own.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.when(ok, run).otherwise(1.0)).drop("__m", "__r")
+    """Step-down adjustment within a family; null and NaN p-values do not count and get 1.  Written at once, see ``scan``."""
+    return adjusted(df, p, family, name, lambda size, rank, x: (size - rank + 1) * x, greatest=True)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *family: str, name: str = "q_value") -> DataFrame:
-    """Step-up adjustment within a family; null and NaN p-values do not count and get 1."""
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    own = Window.partitionBy(*family, ok)
-    ranked = df.withColumns({"__m": F.count("*").over(own), "__r": F.row_number().over(own.orderBy(p))})
-    step = F.col("__m") * F.col(p) / F.col("__r")
-    run = F.min(step).over(own.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.when(ok, F.least(F.lit(1.0), run)).otherwise(1.0)).drop("__m", "__r")
+    """Step-up adjustment within a family; null and NaN p-values do not count and get 1.  Written at once, see ``scan``."""
+    return adjusted(df, p, family, name, lambda size, rank, x: size * x / rank, greatest=False)
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, minimum: int = 3) -> DataFrame:
@@ -67,7 +58,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 def _tail(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, evaluated from its tail."""
     value = 1.0
-    for i in range(300, 0, -1):
+    for i in range(300 + int(4 * math.sqrt(a + b)), 0, -1):
         m = i // 2
         top = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         value = 1 + top / value
@@ -88,9 +79,14 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def mcnemar(wins: int, losses: int) -> float:
-    """Exact two-sided probability of a split at least so uneven."""
+    """Exact two-sided probability of a split at least so uneven: twice a binomial tail, by the incomplete beta function."""
     n, k = wins + losses, min(wins, losses)
-    return min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))) if n else 1.0
+    return min(1.0, 2 * incomplete_beta(n - k, k + 1, 0.5)) if n else 1.0
+
+
+@F.pandas_udf(DoubleType())
+def mcnemar_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
+    return pd.Series([mcnemar(int(w), int(x)) for w, x in zip(wins, losses, strict=True)], dtype=float)
 
 
 def mcnemar_table(pairs: DataFrame, *by: str) -> DataFrame:
@@ -98,8 +94,7 @@ def mcnemar_table(pairs: DataFrame, *by: str) -> DataFrame:
     table = pairs.groupBy(*by).agg(
         F.count_if(F.col("left_value") & ~F.col("right_value")).alias("wins"), F.count_if(~F.col("left_value") & F.col("right_value")).alias("losses")
     )
-    exact = F.udf(mcnemar, "double")  # a row for each comparison
-    return table.withColumn("p", exact("wins", "losses"))
+    return table.withColumn("p", mcnemar_p("wins", "losses"))
 
 
 def sign_test(differences: list[float], samples: int, seed: int) -> float:
@@ -120,37 +115,56 @@ def sign_test(differences: list[float], samples: int, seed: int) -> float:
     return (hits + 1) / (samples + 1)
 
 
-def order_interval(draws: np.ndarray) -> tuple[float, float]:
-    """95 % interval by order statistics."""
-    s, n = np.sort(draws), len(draws)
-    return float(s[max(0, int(0.025 * n) - 1)]), float(s[min(n - 1, int(0.975 * n))])
-
-
-def bootstrap_summary(draws: np.ndarray, estimate: float, interpolated: bool = False) -> tuple[float, float, float, float]:
-    """(estimate, low, high, p); p is twice the smaller share on either side of zero."""
-    low, high = map(float, np.quantile(draws, [0.025, 0.975])) if interpolated else order_interval(draws)
-    return estimate, low, high, min(1.0, 2 * min(float((draws <= 0).mean()), float((draws >= 0).mean())))
+def _picked(seed: int, side: str, draw: Column, place: Column, n: Column) -> Column:
+    """What a draw takes at a place: a digest modulo the number of choices, so that any engine takes the same."""
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(side), draw.cast("string"), place.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
 
 
-SUMMARY = "estimate double, low double, high double, p double, problems long, seeds long"
+def _resampled(effects: DataFrame, group: list[str], column: str, side: str, samples: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered values of a column in each group, and how often each draw takes each: (group, place, n), (group, draw, place, times)."""
+    w = Window.partitionBy(*group)
+    numbered = effects.select(*group, column).distinct().withColumns({f"__{side}": F.row_number().over(w.orderBy(column)) - 1, f"__n{side}": F.count("*").over(w)})
+    asked = numbered.select(*group, F.col(f"__{side}").alias("__at"), F.col(f"__n{side}").alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    taken = asked.withColumn(f"__{side}", _picked(seed, side, F.col("draw"), F.col("__at"), F.col("__n")).cast("int"))
+    return numbered, taken.groupBy(*group, "draw", f"__{side}").agg(F.count("*").alias(f"__x{side}"))
 
 
-def crossed_bootstrap(effects: DataFrame, group: list[str], seed_column: str, problem: str, effect: str, samples: int, seed: int, interpolated: bool = False) -> DataFrame:
-    """Resamples seeds and problems together; all seeds of a group must have the same problems.
+def crossed_draws(effects: DataFrame, group: list[str], seed_column: str, problem: str, effect: str, samples: int, seed: int) -> DataFrame:
+    """(group, draw, mean, problems, seeds): means of resamples that draw seeds and problems apart and cross them.
 
-    One task holds one contrast's seeds x problems matrix, already aggregated to one row a cell.
+    A draw's mean is the sum of its cells, each times how often its seed and its problem were drawn.  The problems'
+    multiples are summed up to (group, draw, seed) before anything meets the seeds', so a contrast is spread over its
+    problems and draws.  All seeds of a group must have the same problems, one row a cell.
     """
-    names = ", ".join(f"{g} {dict(effects.dtypes)[g]}" for g in group)
+    problems, of_problem = _resampled(effects, group, problem, "p", samples, seed)
+    seeds, of_seed = _resampled(effects, group, seed_column, "s", samples, seed)
+    cells = effects.select(*group, seed_column, problem, F.col(effect).cast("double").alias("__v")).join(problems, [*group, problem]).join(seeds, [*group, seed_column])
+    whole = cells.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(seed_column, problem).alias("d"), F.max("__np").alias("problems"), F.max("__ns").alias("seeds"))
+    odd = (F.col("n") != F.col("problems") * F.col("seeds")) | (F.col("d") != F.col("n"))
+    checked = whole.select(*group, F.when(odd, F.raise_error(F.lit("seeds differ in their problems"))).otherwise(F.col("problems")).cast("long").alias("problems"), F.col("seeds").cast("long").alias("seeds"))
+    rows = cells.join(of_problem, [*group, "__p"]).groupBy(*group, "draw", "__s").agg(F.sum(F.col("__v") * F.col("__xp")).alias("__v"))
+    sums = rows.join(of_seed, [*group, "draw", "__s"]).groupBy(*group, "draw").agg(F.sum(F.col("__v") * F.col("__xs")).alias("__v"))
+    return sums.join(checked, group).select(*group, "draw", (F.col("__v") / (F.col("problems") * F.col("seeds"))).alias("mean"), "problems", "seeds")
+
+
+def draw_summary(draws: DataFrame, group: list[str], samples: int, interpolated: bool = False) -> DataFrame:
+    """(group, low, high, p): the 95 % interval of the means, by order statistics or interpolated, and twice the smaller share on either side of zero."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("mean")) - 1
+    low, high = max(0, int(0.025 * samples) - 1), min(samples - 1, int(0.975 * samples))
+    end = lambda k, q: F.percentile("mean", F.lit(q)) if interpolated else F.max(F.when(F.col("__k") == k, F.col("mean")))
+    share = lambda ok: F.avg(ok.cast("int"))
+    return draws.withColumn("__k", place).groupBy(*group).agg(
+        end(low, 0.025).alias("low"), end(high, 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("mean") <= 0), share(F.col("mean") >= 0))).alias("p")
+    )
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index=seed_column, columns=problem, values=effect).sort_index().sort_index(axis=1).to_numpy(float)
-        if np.isnan(m).any():
-            raise ValueError("seeds differ in their problems")
-        rng = np.random.default_rng(seed)
-        draws = np.array([m[np.ix_(rng.integers(0, len(m), len(m)), rng.integers(0, m.shape[1], m.shape[1]))].mean() for _ in range(samples)])
-        return pd.DataFrame([(*key, *bootstrap_summary(draws, float(m.mean()), interpolated), m.shape[1], m.shape[0])])
 
-    return effects.groupBy(*group).applyInPandas(run, f"{names}, {SUMMARY}")
+def crossed_bootstrap(effects: DataFrame, group: list[str], seed_column: str, problem: str, effect: str, samples: int, seed: int, interpolated: bool = False) -> DataFrame:
+    """(group, estimate, low, high, p, problems, seeds): ``crossed_draws`` in summary."""
+    draws = crossed_draws(effects, group, seed_column, problem, effect, samples, seed)
+    sizes = draws.groupBy(*group).agg(F.first("problems").alias("problems"), F.first("seeds").alias("seeds"))
+    means = effects.groupBy(*group).agg(F.avg(effect).alias("estimate"))
+    return means.join(draw_summary(draws, group, samples, interpolated), group).join(sizes, group).select(*group, "estimate", "low", "high", "p", "problems", "seeds")
 
 
 def hash_bootstrap(effects: DataFrame, group: list[str], problem: str, effect: str, samples: int, seed: int) -> DataFrame:

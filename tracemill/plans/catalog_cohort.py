@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import text as tx
 from tracemill.operators import aggregate as ag, answers as an, audit as au, cohort as co, gates as ga, pairing as pr, prompts as pm, select as sl, sources as src, stats as st
 from tracemill.plans.catalog import BANDS, QKEY, query, r6
+from tracemill.plans.catalog_facts import crossed_sql
 from tracemill.plans.fixtures import table, view
 
 # Graders: forms of answers around the customer of an order
@@ -321,7 +322,16 @@ def _st11(spark, d):
     return r6(ga.rank_summary(ga.rank_metrics(_metrics(spark, d), "g", "output_token_count", {"first": "a", "second": "b"})))
 
 
-@query("st11_rank_contrasts")
+@query(
+    "st11_rank_contrasts",
+    f"""WITH pts AS (SELECT cell || '/' || seed AS g, m, output_token_count AS x, CASE m WHEN 'first' THEN problem_id % 17 ELSE problem_id % 5 END AS y FROM predictions, (VALUES ('first'), ('second')) t(m)), {RANKED},
+r AS (SELECT g, m, corr(rx, ry) AS rho FROM ranked GROUP BY 1, 2 HAVING count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0),
+e AS (SELECT g, a.rho - b.rho AS x, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM r a JOIN r b USING (g) WHERE a.m = 'first' AND b.m = 'second'),
+k AS (SELECT draw, CAST('0x' || substr(sha256('7:' || draw || ':' || i), 1, 15) AS BIGINT) % n AS i FROM (SELECT i, n, unnest(generate_series(0, 199)) AS draw FROM e)),
+means AS (SELECT draw, avg(x) AS mean FROM k JOIN e USING (i) GROUP BY 1), placed AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS k FROM means),
+ends AS (SELECT max(mean) FILTER (k = 4) AS low, max(mean) FILTER (k = 195) AS high, least(1.0, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))) AS p FROM placed)
+SELECT 'first' AS left, 'second' AS right, round((SELECT avg(x) FROM e), 6) AS estimate, (SELECT count(*) FROM e) AS questions, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(p, 6) AS p_holm, low > 0 AND p < 0.05 AS passed FROM ends""",
+)
 def _st11_contrasts(spark, d):
     return r6(ga.rank_contrasts(ga.rank_metrics(_metrics(spark, d), "g", "output_token_count", {"first": "a", "second": "b"}), "g", "first", ["second"], 200, 7))
 
@@ -377,7 +387,14 @@ def _st15(spark, d):
     return r6(ga.cell_arms(view(spark, d, "predictions").withColumn("arm", F.col("problem_id") % 4), ["cell"], "arm", "seed", "output_token_count"))
 
 
-@query("st15_contrasts")
+TOKENS = "SELECT CAST(x.problem_id % 3 AS VARCHAR) AS g, x.seed, x.problem_id AS problem, x.output_token_count - y.output_token_count AS x FROM predictions x JOIN predictions y ON x.cell = 'AF' AND y.cell = 'RF' AND x.seed = y.seed AND x.problem_id = y.problem_id"
+
+
+@query(
+    "st15_contrasts",
+    f"""WITH {crossed_sql(TOKENS, 300)}, h AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM ends)
+SELECT 'tokens' AS family, g AS contrast, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, problems, seeds, round(least(1.0, max((m - r + 1) * p) OVER (ORDER BY r)), 6) AS p_holm FROM whole JOIN h USING (g)""",
+)
 def _st15_contrasts(spark, d):
     p = pr.paired(view(spark, d, "predictions"), "cell", "AF", "RF", ["seed", "problem_id"], "output_token_count")
     cells = p.select(F.lit("tokens").alias("family"), (F.col("problem_id") % 3).cast("string").alias("contrast"), "seed", "problem_id", "effect")

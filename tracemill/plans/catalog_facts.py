@@ -343,9 +343,58 @@ def _effects(spark, d):
     return pr.paired(p, "cell", "AF", "RF", ["seed", "problem_id"], "output_token_count").withColumn("arm", F.lit("AF-RF"))
 
 
-@query("st1_crossed_bootstrap")
+def crossed_sql(cells: str, samples: int, interpolated: bool = False) -> str:
+    """Crossed resamples of ``cells`` (g, seed, problem, x): draws (g, draw, mean) and ends (g, low, high, p), from the same digests."""
+    low, high = max(0, int(0.025 * samples) - 1), min(samples - 1, int(0.975 * samples))
+    ends = "quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high" if interpolated else f"max(mean) FILTER (k = {low}) AS low, max(mean) FILTER (k = {high}) AS high"
+    side = lambda n, c: f"""{n} AS (SELECT g, {c}, row_number() OVER (PARTITION BY g ORDER BY {c}) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT g, {c} FROM cells)),
+{n}x AS (SELECT g, draw, CAST('0x' || substr(sha256('7:{n}:' || draw || ':' || i), 1, 15) AS BIGINT) % n AS i, count(*) AS times FROM (SELECT g, i, n, unnest(generate_series(0, {samples - 1})) AS draw FROM {n}) GROUP BY ALL)"""
+    return f"""cells AS ({cells}), {side("p", "problem")}, {side("s", "seed")},
+draws AS (SELECT cells.g AS g, px.draw AS draw, sum(x * px.times * sx.times) / (any_value(p.n) * any_value(s.n)) AS mean FROM cells JOIN p USING (g, problem) JOIN s USING (g, seed) JOIN px ON px.g = cells.g AND px.i = p.i JOIN sx ON sx.g = cells.g AND sx.i = s.i AND sx.draw = px.draw GROUP BY ALL),
+ends AS (SELECT g, {ends}, least(1.0, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))) AS p FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY mean) - 1 AS k FROM draws) GROUP BY g),
+whole AS (SELECT g, avg(x) AS estimate, count(DISTINCT problem) AS problems, count(DISTINCT seed) AS seeds FROM cells GROUP BY g)"""
+
+
+EFFECTS = "SELECT 'AF-RF' AS g, x.seed, x.problem_id AS problem, x.output_token_count - y.output_token_count AS x FROM predictions x JOIN predictions y ON x.cell = 'AF' AND y.cell = 'RF' AND x.seed = y.seed AND x.problem_id = y.problem_id"
+
+
+@query("st1_crossed_bootstrap", f"WITH {crossed_sql(EFFECTS, 300)} SELECT g AS arm, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, problems, seeds FROM whole JOIN ends USING (g)")
 def _st1(spark, d):
-    return st.crossed_bootstrap(_effects(spark, d), ["arm"], "seed", "problem_id", "effect", 300, 7)
+    return r6(st.crossed_bootstrap(_effects(spark, d), ["arm"], "seed", "problem_id", "effect", 300, 7))
+
+
+@query("st3_interpolated", f"WITH {crossed_sql(EFFECTS, 120, True)} SELECT g AS arm, round(low, 6) AS low, round(high, 6) AS high FROM ends")
+def _st3(spark, d):
+    return r6(st.crossed_bootstrap(_effects(spark, d), ["arm"], "seed", "problem_id", "effect", 120, 7, interpolated=True).select("arm", "low", "high"))
+
+
+# One family of all line items: many ties, and p-values that are missing or no numbers
+FAMILY = """f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 50 = 7 THEN 'NaN'::DOUBLE WHEN l_suppkey % 50 = 8 THEN NULL ELSE ((l_partkey * 31 + l_suppkey * 7) % 5003 + 1) / 7.3e7 END AS p FROM lineitem),
+r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM f WHERE p IS NOT NULL AND NOT isnan(p))"""
+
+
+def _family(spark, d):
+    odd = F.col("l_suppkey") % 50
+    p = F.when(odd == 7, F.lit(float("nan"))).when(odd != 8, ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7) % 5003 + 1) / 7.3e7)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
+
+
+@query(
+    "st7_holm_of_all",
+    f"""WITH {FAMILY} SELECT l_orderkey, l_linenumber, round(least(1.0, max((m - r + 1) * p) OVER (ORDER BY r)), 6) AS p_holm FROM r
+UNION ALL SELECT l_orderkey, l_linenumber, 1.0 FROM f WHERE p IS NULL OR isnan(p)""",
+)
+def _st7(spark, d):
+    return r6(st.holm(_family(spark, d), "p").select("l_orderkey", "l_linenumber", "p_holm"))
+
+
+@query(
+    "st8_rates_of_all",
+    f"""WITH {FAMILY} SELECT l_orderkey, l_linenumber, round(least(1.0, min(m * p / r) OVER (ORDER BY r DESC)), 6) AS q_value FROM r
+UNION ALL SELECT l_orderkey, l_linenumber, 1.0 FROM f WHERE p IS NULL OR isnan(p)""",
+)
+def _st8_all(spark, d):
+    return r6(st.benjamini_hochberg(_family(spark, d), "p").select("l_orderkey", "l_linenumber", "q_value"))
 
 
 @query(
@@ -358,10 +407,17 @@ def _st2(spark, d):
     return r6(st.hash_bootstrap(_effects(spark, d), ["seed"], "problem_id", "effect", 20, 7))
 
 
-@query("st5_mcnemar")
+MCNEMAR = "CASE WHEN w + l = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(generate_series(0, least(w, l)), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2))))) END"
+
+
+@query(
+    "st5_mcnemar",
+    f"""WITH c AS (SELECT x.seed, count(*) FILTER (WHERE x.is_correct AND NOT y.is_correct) AS w, count(*) FILTER (WHERE NOT x.is_correct AND y.is_correct) AS l FROM predictions x JOIN predictions y ON x.cell = 'AF' AND y.cell = 'RF' AND x.seed = y.seed AND x.problem_id = y.problem_id GROUP BY 1)
+SELECT seed, w AS wins, l AS losses, round({MCNEMAR}, 6) AS p FROM c""",
+)
 def _st5(spark, d):
     p = pr.paired(view(spark, d, "predictions").withColumn("v", F.col("is_correct").cast("int")), "cell", "AF", "RF", ["seed", "problem_id"], "v")
-    return st.mcnemar_table(p.withColumns({"left_value": F.col("left_value") == 1, "right_value": F.col("right_value") == 1}), "seed")
+    return r6(st.mcnemar_table(p.withColumns({"left_value": F.col("left_value") == 1, "right_value": F.col("right_value") == 1}), "seed"))
 
 
 @query("st9_paired_features")
