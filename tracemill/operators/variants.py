@@ -6,7 +6,7 @@ Both are table functions (UDTFs) that a row is joined with laterally, so what a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,43 +22,48 @@ LABELS = {"reference": "Answer: ", "result_marker": "Result: ", "no_marker": ""}
 NOTES = {"neutral_note": "The label in this note is Entry.\n", "answer_note": "The label in this note is Answer.\n"}
 
 
+def _shared(a: str, b: str, most: int, same: Callable[[str, str, int], bool]) -> int:
+    """The greatest number up to ``most`` for which ``same`` holds, by bisection over whole pieces."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if same(a, b, middle) else (low, middle - 1)
+    return low
+
+
 def matching(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
     """(operation, start, end in a, start, end in b) that turn a into b, along a longest common subsequence.
 
     What both begin and end with is equal; the texts between are compared character by character.
     """
-    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    most = min(len(a), len(b)) - head
-    tail = next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
+    head = _shared(a, b, min(len(a), len(b)), lambda x, y, n: x[:n] == y[:n])
+    tail = _shared(a, b, min(len(a), len(b)) - head, lambda x, y, n: not n or x[-n:] == y[-n:])
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]  # of what is left from (i, j) on
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             longest[i][j] = longest[i + 1][j + 1] + 1 if x[i] == y[j] else max(longest[i + 1][j], longest[i][j + 1])
-    pairs, i, j = [(k, k) for k in range(head)], 0, 0
+    runs, i, j = [(0, 0, head)], 0, 0  # equal pieces: start in a, start in b, length
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            pairs.append((head + i, head + j))
+            runs.append((head + i, head + j, 1))
             i, j = i + 1, j + 1
         elif longest[i + 1][j] >= longest[i][j + 1]:
             i += 1
         else:
             j += 1
-    pairs += [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
-    made: list[tuple[str, int, int, int, int]] = []
-    at, to, begun = 0, 0, None
-    for p, q in [*pairs, (len(a), len(b))]:
-        if (p, q) != (at, to):  # a gap ends the run of equal characters
-            if begun:
-                made.append(("equal", begun[0], at, begun[1], to))
-            kind = "replace" if p > at and q > to else "delete" if p > at else "insert"
-            made.append((kind, at, p, to, q))
-            begun = None
-        begun = begun or (p, q)
-        at, to = p + 1, q + 1
-    if begun and begun != (len(a), len(b)):
-        made.append(("equal", begun[0], len(a), begun[1], len(b)))
-    return made
+    runs.append((len(a) - tail, len(b) - tail, tail))
+    made: list[list] = []
+    at, to = 0, 0
+    for p, q, n in runs:
+        if p > at or q > to:
+            made.append(["replace" if p > at and q > to else "delete" if p > at else "insert", at, p, to, q])
+        if n and made and made[-1][0] == "equal":
+            made[-1][2], made[-1][4] = p + n, q + n
+        elif n:
+            made.append(["equal", p, p + n, q, q + n])
+        at, to = p + n, q + n
+    return [tuple(m) for m in made]
 
 
 def wrong_calculation(body: str) -> tuple[str, str, str, int, str] | None:
