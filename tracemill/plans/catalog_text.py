@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.operators import answers as an, layouts as ly, lineage as ln, regions as rg, stats as st, variants as va
+from tracemill.operators import answers as an, candidates as cd, layouts as ly, lineage as ln, regions as rg, stats as st, variants as va
 from tracemill.operators.store import scratch
 from tracemill.plans.catalog import query
 from tracemill.plans.fixtures import table
@@ -317,3 +317,37 @@ def _st12(spark, d):
     rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("family"), F.col("l_suppkey").alias("g"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 100).alias("discount"))
     fitted = st.fixed_effect_table(rows, ["family"], "g", "y", ["quantity", "discount"])
     return fitted.select("family", "predictor", *(F.round(c, 5).alias(c) for c in ("beta", "se_clustered", "se_naive")), "observations", "questions", "clusters", "rank")
+
+
+# Audits of candidates: three arms of four candidates for every document, some of them corrupted by the document's number
+
+POOL = cd.Plan(("a", "b", "c"), initial=2, round_size=2, most=8, seed=5, end=31, cap=6)
+CORRUPTED = [  # remainder of 50, rule, arm, index
+    (1, "missing", "b", 2), (2, "duplicate", "a", 0), (3, "random_stream", "c", 3), (4, "identity", "a", 1), (5, "token_boundary", "b", 0), (6, "unfinished", "a", 2),
+    (7, "token_accounts", "c", 1), (8, "unexpected", "a", 99), (9, "incomplete_round", None, 3),
+]
+
+
+def _text(x) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+@query(
+    "au1_candidate_faults",
+    " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(doc_id AS VARCHAR) AS problem_id, CAST({_text(a)} AS VARCHAR) AS condition, CAST({i} AS INT) AS candidate_index FROM documents WHERE doc_id % 50 = {k}" for k, rule, a, i in CORRUPTED),
+)
+def _au1_faults(spark, d):
+    """Every injected fault of the pool, and nothing else."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("problem_id"), F.sha2("text", 256).alias("question"), F.col("source").alias("answer"))
+    arm, i, k = F.col("condition"), F.col("candidate_index"), F.col("doc_id") % 50
+    at = lambda r, a, n: (k == r) & (arm == a) & (i == n)
+    cells = docs.withColumn("condition", F.explode(F.array(*map(F.lit, "abc")))).withColumn("candidate_index", F.explode(F.when((k == 8) & (arm == "a"), F.array(*map(F.lit, (0, 1, 2, 3, 99)))).when((k == 2) & (arm == "a"), F.array(*map(F.lit, (0, 0, 1, 2, 3)))).otherwise(F.array(*map(F.lit, range(4))))))
+    cells = cells.where(~at(1, "b", 2) & ~((k == 9) & (i == 3)))
+    tokens = F.when(at(5, "b", 0), F.array(*map(F.lit, (2, 31, 3, 4, 5, 6)))).when(at(6, "a", 2), F.array(F.lit(2), F.lit(3))).when(i % 2 == 1, F.array(*map(F.lit, (2, 3, 31)))).otherwise(F.array(*map(F.lit, range(2, 8))))
+    rows = cells.withColumn("token_ids", tokens).withColumn("ended", F.element_at("token_ids", -1) == 31)
+    rows = rows.select(
+        "problem_id", "condition", "candidate_index", F.when(at(4, "a", 1), "other").otherwise(F.col("question")).alias("question"), F.col("answer").alias("gold_answer"),
+        (cd.expected_stream(5, i, F.col("problem_id")) + at(3, "c", 3).cast("int")).alias("seed"), "token_ids", F.size("token_ids").alias("output_token_count"),
+        (F.size("token_ids") - F.col("ended").cast("int") + at(7, "c", 1).cast("int")).alias("generated_tokens"), (~F.col("ended")).alias("hit_max_new_tokens"),
+    )
+    return cd.candidate_faults(rows, docs.select("problem_id", "question", "answer"), POOL)
