@@ -133,12 +133,12 @@ def calibration_bindings(pairs: DataFrame, attempts: DataFrame, pair: str = "pai
 def cells_off_grid(rows: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
     """(rule, axes...): cells of the product of the axes that are missing, others that are there, and repeated ones.
 
-    ``axes`` are one-column tables of distinct values; all but the first are broadcast, so they are the small ones.
+    ``axes`` are one-column tables of distinct values; their product is as large as a full grid.
     """
     names = list(axes)
     grid = axes[names[0]]
     for n in names[1:]:
-        grid = grid.crossJoin(F.broadcast(axes[n]))
+        grid = grid.crossJoin(axes[n])
     seen = rows.groupBy(*names).agg(F.count("*").alias("n"))
     tag = lambda df, rule: df.select(F.lit(rule).alias("rule"), *names)
     return tag(grid.join(seen, names, "left_anti"), "missing").unionByName(tag(seen.join(grid, names, "left_anti"), "unexpected")).unionByName(tag(seen.where("n > 1"), "duplicate"))

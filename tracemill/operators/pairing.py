@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracemill.operators.blocks import mutual_in_blocks, nearest_in_blocks, packed
+
 
 def lookup(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join by a key that the table must have once: a missing or repeated key fails the query."""
@@ -29,9 +31,14 @@ def paired(rows: DataFrame, arm: str, left, right, on: list[str], value: str) ->
 
 
 def support_differences(rows: DataFrame, arm: str, on: list[str]) -> DataFrame:
-    """Keys that some arm lacks: (key columns, arm)."""
-    arms, keys = rows.select(arm).distinct(), rows.select(*on).distinct()
-    return keys.crossJoin(F.broadcast(arms)).join(rows.select(*on, arm).distinct(), [*on, arm], "left_anti")
+    """Keys that some arm lacks: (key columns, arm).
+
+    Keys with all arms are told by their number of arms alone; the arms are named only for the others.
+    """
+    cells = rows.select(*on, arm).distinct()
+    number = cells.agg(F.count_distinct(arm).alias("arms"))  # one row
+    short = cells.groupBy(*on).agg(F.count(arm).alias("have")).join(number, F.col("have") < F.col("arms")).select(*on)
+    return short.join(cells.select(arm).distinct(), F.lit(True)).join(cells, [*on, arm], "left_anti")
 
 
 def common_support(rows: DataFrame, key: str, method: str, methods: list[str]) -> DataFrame:
@@ -43,22 +50,9 @@ def common_support(rows: DataFrame, key: str, method: str, methods: list[str]) -
     return out.select(key, F.size("have").alias("methods"), missing.alias("missing_methods"), (F.size("have") == len(methods)).alias("common"))
 
 
-def distances(queries: DataFrame, references: DataFrame, ident: str, vector: str) -> DataFrame:
-    """Squared distances of a small query set to all references (a stated query set, broadcast)."""
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("__q"))
-    r = references.select(F.col(ident).alias("reference_id"), F.col(vector).alias("__r"))
-    square = F.aggregate(F.zip_with("__q", "__r", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return r.join(F.broadcast(q), F.lit(True)).withColumn("distance", square).select("query_id", "reference_id", "distance")
-
-
 def nearest(queries: DataFrame, references: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
-    """The k nearest references of every query, ties by id.  Per query only k rows of each task are kept before the shuffle.
-
-    ``queries`` is a stated, small set: it is broadcast.  Use blocks of it where it is large.
-    """
-    d = distances(queries, references, ident, vector)
-    w = Window.partitionBy("query_id").orderBy("distance", "reference_id")
-    return d.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    """(query_id, reference_id, distance, k): the k nearest references of every query by squared distance, ties by id."""
+    return nearest_in_blocks(packed(queries, ident, vector), packed(references, ident, vector), k)
 
 
 def z_scored(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,11 +61,6 @@ def z_scored(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
 
 
-def cosine(a: str | Column, b: str | Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12)) * F.greatest(F.sqrt(dot(b, b)), F.lit(1e-12)))
-
-
 def activation_correlations(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``pairs`` (left_id, right_id, ...) with the correlation of their values (id, key, value) over the keys of both, 0 if one is constant."""
     a, b = left.toDF("left_id", "__k", "__x"), right.toDF("right_id", "__k", "__y")
@@ -88,13 +77,8 @@ def stable_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, minimum:
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, ident: str, vector: str, minimum: float) -> DataFrame:
-    """(left_id, right_id, cosine): pairs that are each other's best match, ties by id.  Feature tables of a dictionary: the right one is broadcast."""
-    a = left.select(F.col(ident).alias("left_id"), F.col(vector).alias("x"))
-    b = right.select(F.col(ident).alias("right_id"), F.col(vector).alias("y"))
-    scored = a.join(F.broadcast(b), F.lit(True)).withColumn("cosine", cosine("x", "y")).drop("x", "y")
-    best = lambda by, tie: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cosine"), tie))
-    both = scored.withColumns({"l": best("left_id", "right_id"), "r": best("right_id", "left_id")})
-    return both.where((F.col("l") == 1) & (F.col("r") == 1) & (F.col("cosine") >= minimum)).select("left_id", "right_id", "cosine")
+    """(left_id, right_id, cosine): pairs that are each other's best match, ties by id."""
+    return mutual_in_blocks(packed(left, ident, vector), packed(right, ident, vector), minimum)
 
 
 def triangles(ab: DataFrame, ac: DataFrame, bc: DataFrame) -> DataFrame:

@@ -1,34 +1,54 @@
-"""Tokens of texts as rows with their places, and which of them lie in regions and spans of the text.
+"""Places of tokens in texts, and which of them lie in regions and spans of the text.
 
-Places are counted in code points.  Each text has an id of its own; tokens of one text are ordered by windows whose
-frames only look back, so a long text streams through its task.
+A text is one row, and its tokens are an array beside it: all here is a column function of that row, so nothing is
+shuffled and a text's tokens never become rows unless a caller wants them.  Places are counted in code points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
 
-#: A word with the white space after it (or that before the first), and the heading of an answer.
-PIECE = r"[^ \t\n\r]+[ \t\n\r]*|^[ \t\n\r]+"
-BLANK = " \t\n\r"
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+
+#: A word between spaces, tabs and line ends, and the heading of an answer.
+WORD = r"[^ \t\n\r]+"
 HEADING = r"(?im)^\s*(?:final\s+)?answer\s*:"
+PLACES = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-def placed(rows: DataFrame, ident: str, text: str, pattern: str) -> DataFrame:
-    """(ident, nth, start, piece): all matches of a pattern that leaves nothing out, with their places."""
-    pieces = rows.select(ident, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("nth", "piece"))
-    before = Window.partitionBy(ident).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("start", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)).cast("int"))
+def _lists(sizes: list[int | None], values: pa.Array) -> pa.Array:
+    """A list array of the given sizes; a null size is a null list."""
+    offsets = np.concatenate(([0], np.cumsum([n or 0 for n in sizes]))).astype(np.int32)
+    gone = pa.array([n is None for n in sizes] + [False])
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=gone.to_numpy(zero_copy_only=False)), values) if None in sizes else pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def word_tokens(rows: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, position, start, end, token): the words of each text between spaces, tabs and line ends.
+def places(text: Column, pattern: str = WORD) -> Column:
+    """array of struct(start, end): where a pattern matches, from left to right; null for a null text."""
+    found = re.compile(pattern)
+
+    @F.arrow_udf(PLACES)
+    def run(texts: pa.Array) -> pa.Array:
+        sizes, parts = [], [np.zeros((0, 2), np.int32)]
+        for t in texts:
+            if (said := t.as_py()) is None:
+                sizes.append(None)
+                continue
+            spans = [m.span() for m in found.finditer(said)]
+            sizes.append(len(spans))
+            parts.append(np.array(spans, np.int32).reshape(-1, 2))
+        flat = np.concatenate(parts)
+        return _lists(sizes, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+
+    return run(text)
 
-    A null text and one of white space alone have no tokens; ids must be unique.
-    """
-    word = placed(rows, ident, text, PIECE).withColumn("token", F.rtrim("piece", F.lit(BLANK))).where("token != ''")
-    nth = F.row_number().over(Window.partitionBy(ident).orderBy("nth")) - 1
-    return word.select(ident, nth.alias("position"), "start", (F.col("start") + F.char_length("token")).alias("end"), "token")
+
+def words(text: Column) -> Column:
+    """The words themselves, in the order of ``places``."""
+    return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
 def first_span(text: Column, pattern: str, lead: str = "") -> Column:
@@ -42,44 +62,55 @@ def first_span(text: Column, pattern: str, lead: str = "") -> Column:
     return F.when(text.rlike(whole), F.struct(start.alias("start"), (start + F.char_length(F.regexp_extract(text, whole, 2))).alias("end")))
 
 
-def with_regions(tokens: DataFrame, spans: DataFrame, ident: str) -> DataFrame:
-    """``tokens`` with ``region``: 0 before the text's span (at most one a text), 1 from its start on, 2 behind it.
+def regions(tokens: Column, span: Column) -> Column:
+    """For each token 0 before the span, 1 from its start on, 2 behind it; all 0 without a span.
 
-    A token across a border belongs to the later region; without a span all are 0.
+    A token across a border belongs to the later region.
     """
-    one = spans.select(ident, F.col("start").alias("opens"), F.col("end").alias("closes"))
-    region = F.when(F.col("opens").isNull() | (F.col("end") <= F.col("opens")), 0).when(F.col("start") < F.col("closes"), 1).otherwise(2)
-    return tokens.join(one, ident, "left").withColumn("region", region).drop("opens", "closes")
+    return F.transform(tokens, lambda t: F.when(span.isNull() | (t["end"] <= span["start"]), 0).when(t["start"] < span["end"], 1).otherwise(2))
 
 
-def with_cover(tokens: DataFrame, spans: DataFrame, ident: str) -> DataFrame:
-    """``tokens`` with ``covered``: whether a token overlaps any span of its text, of which there may be many and nested ones.
+@F.arrow_udf(ArrayType(BooleanType()))
+def covered(tokens: pa.Array, spans: pa.Array) -> pa.Array:
+    """For each token whether it overlaps any of the spans, of which there may be many, nested and in any order.
 
-    One sweep: tokens by their ends and spans by their starts in one order, with the furthest end of the spans so far.
+    One sweep: the spans by their starts, with the furthest end so far; a token looks at those that start before its end.
     """
-    columns = [c for c in tokens.columns if c != ident]
-    words = tokens.select(ident, F.col("end").alias("at"), F.lit(0).alias("side"), F.struct(*columns).alias("word"), F.lit(None).cast("int").alias("until"))
-    opened = spans.select(ident, F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("word"), F.col("end").cast("int").alias("until"))
-    so_far = Window.partitionBy(ident).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = words.unionByName(opened).withColumn("until", F.max("until").over(so_far)).where("side = 0")
-    return swept.select(ident, "word.*", F.coalesce(F.col("until") > F.col("word.start"), F.lit(False)).alias("covered"))
-
-
-def eligible_positions(tokens: DataFrame, headings: DataFrame, ident: str, excluded: list[str], tail: int, most: int | None = None, count: int | None = None, of_body: bool = False) -> DataFrame:
-    """Tokens before the text's heading that have a letter or digit, no backslash and no excluded word.
-
-    The last ``tail`` tokens, of the text or (``of_body``) of what lies before the heading, and positions from ``most`` on
-    are not eligible; ``count`` keeps the first ones of each text.  Texts without a heading end with their last token.
+    sizes, parts = [], [np.zeros(0, bool)]
+    for t, s in zip(tokens, spans, strict=True):
+        if not t.is_valid:
+            sizes.append(None)
+            continue
+        own, over = t.values, s.values if s.is_valid else None
+        sizes.append(len(own))
+        if over is None or not len(over):
+            parts.append(np.zeros(len(own), bool))
+            continue
+        start, end = over.field("start").to_numpy(), over.field("end").to_numpy()
+        order = np.argsort(start, kind="stable")
+        reach = np.maximum.accumulate(end[order])
+        before = np.searchsorted(start[order], own.field("end").to_numpy(), side="left")
+        parts.append((before > 0) & (reach[np.maximum(before - 1, 0)] > own.field("start").to_numpy()))
+    return _lists(sizes, pa.array(np.concatenate(parts)))
+
+
+def eligible_positions(tokens: Column, said: Column, heading: Column, excluded: list[str], tail: int, most: int | None = None, count: int | None = None, of_body: bool = False) -> Column:
+    """Positions of the tokens before the heading that have a letter or digit, no backslash and no excluded word.
+
+    ``said`` are the tokens' texts.  The last ``tail`` tokens, of the text or (``of_body``) of what lies before the heading,
+    and positions from ``most`` on are not eligible; ``count`` keeps the first ones.  Without a heading the text ends it.
     """
-    ahead = tokens.join(headings.select(ident, F.col("start").alias("opens")), ident, "left")
-    before = F.col("opens").isNull() | (F.col("end") <= F.col("opens"))
-    last = F.count("*" if not of_body else F.when(before, 1)).over(Window.partitionBy(ident))
-    words = F.regexp_extract_all(F.lower("token"), F.lit("[a-z]+"), 0)
-    ok = before & (F.col("position") < last - tail) & ~F.contains("token", F.lit("\\")) & F.col("token").rlike(r"[\p{L}\p{N}]") & ~F.arrays_overlap(words, F.array(*map(F.lit, excluded)).cast("array<string>"))
-    if most is not None:
-        ok &= F.col("position") < most
-    chosen = ahead.withColumn("ok", ok).where("ok").drop("ok", "opens")
-    if count is None:
-        return chosen
-    nth = F.row_number().over(Window.partitionBy(ident).orderBy("position"))
-    return chosen.withColumn("nth", nth).where(F.col("nth") <= count).drop("nth")
+    before = lambda t: heading.isNull() | (t["end"] <= heading["start"])
+    last = F.size(F.filter(tokens, before)) if of_body else F.size(tokens)
+    limit = last - tail if most is None else F.least(last - tail, F.lit(most))
+    bad = F.array(*map(F.lit, excluded)).cast("array<string>")
+
+    def fit(t: Column) -> Column:
+        word = t["w"]
+        listed = F.arrays_overlap(F.regexp_extract_all(F.lower(word), F.lit("[a-z]+"), 0), bad)
+        return before(t["t"]) & ~F.contains(word, F.lit("\\")) & word.rlike(r"[\p{L}\p{N}]") & ~listed
+
+    placed = F.transform(F.arrays_zip(tokens.alias("t"), said.alias("w")), lambda t, i: F.struct(t["t"].alias("t"), t["w"].alias("w"), i.alias("i")))
+    ahead = F.slice(placed, 1, F.greatest(limit, F.lit(0)))
+    chosen = F.transform(F.filter(ahead, fit), lambda t: t["i"])
+    return chosen if count is None else F.slice(chosen, 1, F.lit(count))

@@ -220,6 +220,21 @@ def _j9(spark, d):
     return r6(pr.mutual_nearest(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", 0.2))
 
 
+@query(
+    "j9_stable_matches",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT l.vec_id AS left_id, r.vec_id AS right_id, l.e AS x, r.e AS y, list_cosine_similarity(l.e, r.e) AS c FROM v l JOIN v r ON l.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS p, row_number() OVER (PARTITION BY right_id ORDER BY c DESC, left_id) AS q FROM s),
+k AS (SELECT left_id, right_id, c, corr(i, j) AS r FROM (SELECT left_id, right_id, c, unnest(x) AS i, unnest(y) AS j FROM b WHERE p = 1 AND q = 1 AND c >= 0.2) GROUP BY ALL)
+SELECT left_id, right_id, round(c, 6) AS cosine, round(r, 6) AS correlation FROM k WHERE r >= 0.3""",
+)
+def _j9_stable(spark, d):
+    """Mutual matches whose entries correlate."""
+    e = table(spark, d, "embeddings")
+    left, right = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    values = lambda t: t.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")))
+    return r6(pr.stable_matches(pr.mutual_nearest(left, right, "vec_id", "embedding", 0.2), values(left), values(right), 0.3))
+
+
 @query(
     "j14_parents",
     "SELECT doc_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS status FROM documents LEFT JOIN (SELECT text, count(DISTINCT doc_id) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) USING (text)",

@@ -165,8 +165,7 @@ def _sx15(spark, d):
 def _sx10(spark, d):
     """Steps of every document with an answer put behind it; tested against the plain function."""
     docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\nAnswer: "), "n_chars").alias("text"))
-    offsets = rg.word_tokens(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("offsets"))
-    return va.step_rows(docs.join(offsets, "doc_id"), "text", "offsets").drop("text", "offsets")
+    return va.step_rows(docs.withColumn("offsets", rg.places(F.col("text"))), "text", "offsets").drop("text", "offsets")
 
 
 # Regions and spans
@@ -185,20 +184,17 @@ SELECT doc_id, count(*) FILTER (NOT there OR stop <= a) AS n_body, count(*) FILT
 FROM tokens JOIN heads USING (doc_id) GROUP BY doc_id""",
 )
 def _sx9(spark, d):
-    docs = table(spark, d, "documents")
-    heads = docs.select("doc_id", rg.first_span(F.col("text"), MARKER).alias("x")).where("x is not null").select("doc_id", "x.*")
-    masked = rg.with_regions(rg.word_tokens(docs, "doc_id", "text"), heads, "doc_id")
-    return masked.groupBy("doc_id").agg(*(F.count_if(F.col("region") == i).alias(n) for i, n in enumerate(("n_body", "n_marker", "n_suffix"))))
+    docs = table(spark, d, "documents").select("doc_id", rg.places(F.col("text")).alias("tokens"), rg.first_span(F.col("text"), MARKER).alias("span"))
+    masks = docs.where(F.size("tokens") > 0).select("doc_id", rg.regions(F.col("tokens"), F.col("span")).alias("r"))
+    return masks.select("doc_id", *(F.size(F.array_remove(F.transform("r", lambda r: r != F.lit(i)), True)).cast("long").alias(n) for i, n in enumerate(("n_body", "n_marker", "n_suffix"))))
 
 
 @query("sx9_covered_tokens", rf"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (regexp_matches(token, '[0-9]')) AS n_covered FROM tokens GROUP BY doc_id")
 def _sx9_cover(spark, d):
     """Tokens that overlap a run of digits, by the sweep; the SQL asks which tokens hold a digit."""
-    docs = table(spark, d, "documents")
-    runs = rg.placed(docs, "doc_id", "text", "[0-9]+|[^0-9]+").where(F.col("piece").rlike("^[0-9]"))
-    spans = runs.select("doc_id", "start", (F.col("start") + F.char_length("piece")).alias("end"))
-    covered = rg.with_cover(rg.word_tokens(docs, "doc_id", "text"), spans, "doc_id")
-    return covered.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("covered").alias("n_covered"))
+    docs = table(spark, d, "documents").select("doc_id", rg.places(F.col("text")).alias("tokens"), rg.places(F.col("text"), "[0-9]+").alias("spans"))
+    found = docs.where(F.size("tokens") > 0).select("doc_id", rg.covered("tokens", "spans").alias("c"))
+    return found.select("doc_id", F.size("c").cast("long").alias("n_tokens"), F.size(F.filter("c", lambda c: c)).cast("long").alias("n_covered"))
 
 
 @query(
@@ -209,10 +205,10 @@ ok AS (SELECT doc_id, position, count(*) OVER (PARTITION BY doc_id) AS n, (a IS
 SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS r FROM ok WHERE fit AND position < n - 5 AND position < 400) WHERE r <= 64""",
 )
 def _pf5(spark, d):
-    docs = table(spark, d, "documents")
-    heads = docs.select("doc_id", rg.first_span(F.col("text"), MARKER).alias("x")).where("x is not null").select("doc_id", "x.*")
-    tokens = rg.word_tokens(docs, "doc_id", "text")
-    return rg.eligible_positions(tokens, heads, "doc_id", ["the", "and", "die", "und"], tail=5, most=400, count=64).select("doc_id", "position")
+    text = F.col("text")
+    docs = table(spark, d, "documents").select("doc_id", rg.places(text).alias("tokens"), rg.words(text).alias("said"), rg.first_span(text, MARKER).alias("span"))
+    fit = rg.eligible_positions(F.col("tokens"), F.col("said"), F.col("span"), ["the", "and", "die", "und"], tail=5, most=400, count=64)
+    return docs.select("doc_id", F.explode(fit).alias("position")).withColumn("position", F.col("position").cast("long"))
 
 
 # Streams, shards, layouts
