@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+from tracemill.functions.text import once
+
 #: A word between spaces, tabs and line ends, and the heading of an answer.
 WORD = r"[^ \t\n\r]+"
 HEADING = r"(?im)^\s*(?:final\s+)?answer\s*:"
@@ -67,7 +69,8 @@ def regions(tokens: Column, span: Column) -> Column:
 
     A token across a border belongs to the later region.
     """
-    return F.transform(tokens, lambda t: F.when(span.isNull() | (t["end"] <= span["start"]), 0).when(t["start"] < span["end"], 1).otherwise(2))
+    of = lambda t, s: F.when(s.isNull() | (t["end"] <= s["start"]), 0).when(t["start"] < s["end"], 1).otherwise(2)
+    return once(F.struct(tokens.alias("t"), span.alias("s")), lambda b: F.transform(b["t"], lambda t: of(t, b["s"])))
 
 
 @F.arrow_udf(ArrayType(BooleanType()))
@@ -100,17 +103,21 @@ def eligible_positions(tokens: Column, said: Column, heading: Column, excluded:
     ``said`` are the tokens' texts.  The last ``tail`` tokens, of the text or (``of_body``) of what lies before the heading,
     and positions from ``most`` on are not eligible; ``count`` keeps the first ones.  Without a heading the text ends it.
     """
-    before = lambda t: heading.isNull() | (t["end"] <= heading["start"])
-    last = F.size(F.filter(tokens, before)) if of_body else F.size(tokens)
-    limit = last - tail if most is None else F.least(last - tail, F.lit(most))
     bad = F.array(*map(F.lit, excluded)).cast("array<string>")
 
-    def fit(t: Column) -> Column:
-        word = t["w"]
-        listed = F.arrays_overlap(F.regexp_extract_all(F.lower(word), F.lit("[a-z]+"), 0), bad)
-        return before(t["t"]) & ~F.contains(word, F.lit("\\")) & word.rlike(r"[\p{L}\p{N}]") & ~listed
+    def chosen(both: Column) -> Column:
+        places_, opens = both["t"], both["h"]["start"]
+        before = lambda t: opens.isNull() | (t["end"] <= opens)
+        last = F.size(F.filter(places_, before)) if of_body else F.size(places_)
+        limit = last - tail if most is None else F.least(last - tail, F.lit(most))
+
+        def fit(t: Column) -> Column:
+            listed = F.arrays_overlap(F.regexp_extract_all(F.lower(t["w"]), F.lit("[a-z]+"), 0), bad)
+            return before(t["t"]) & ~F.contains(t["w"], F.lit("\\")) & t["w"].rlike(r"[\p{L}\p{N}]") & ~listed
+
+        placed = F.transform(F.arrays_zip(places_.alias("t"), both["w"].alias("w")), lambda t, i: F.struct(t["t"].alias("t"), t["w"].alias("w"), i.alias("i")))
+        ahead = F.slice(placed, 1, F.greatest(limit, F.lit(0)))
+        return F.transform(F.filter(ahead, fit), lambda t: t["i"])
 
-    placed = F.transform(F.arrays_zip(tokens.alias("t"), said.alias("w")), lambda t, i: F.struct(t["t"].alias("t"), t["w"].alias("w"), i.alias("i")))
-    ahead = F.slice(placed, 1, F.greatest(limit, F.lit(0)))
-    chosen = F.transform(F.filter(ahead, fit), lambda t: t["i"])
-    return chosen if count is None else F.slice(chosen, 1, F.lit(count))
+    found = once(F.struct(tokens.alias("t"), said.alias("w"), heading.alias("h")), chosen)
+    return found if count is None else F.slice(found, 1, F.lit(count))
