@@ -54,3 +54,14 @@ def test_nothing(spark):
     docs, items = case(4)
     check(spark, docs[:5], [], 10)
     check(spark, [], items, 10)
+
+
+def test_clean_rows_keep_all_columns_and_judge_texts(spark):
+    said = "one two three four five six seven eight nine ten"
+    rows = [(1, f"so {said} then", "a", "b", "c"), (1, "nothing of it", "a", "b", "c"), (None, None, "d", "e", "f"), (None, said, "g", "h", "i"), (2, "", "j", "k", "l"), (2, "", "j", "k", "l")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "__key", "own", "a.b"])
+    items = spark.createDataFrame([(7, said)], "item_id long, text string")
+    got = d.clean_rows(docs, items, size=10)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if said not in (r[1] or "")), key=str)
+    assert d.clean_rows(docs.limit(0), items, size=10).count() == 0 and d.clean_rows(docs, items.limit(0), size=10).count() == 6

@@ -90,3 +90,12 @@ def test_labels_without_a_document_do_not_use_up_the_sample(spark):
     df = spark.createDataFrame([*docs, *docs[:50]], SCHEMA)
     lf = spark.createDataFrame(labels + [(10_000 + i, 0, 1) for i in range(3000)], "doc_id long, quality int, toxic int")
     assert quality.train(df, lf, sample=400).weights == quality.train(df, lf.where("doc_id < 10000"), sample=400).weights != {}
+
+
+def test_columns_named_like_what_is_used_inside(spark, monkeypatch):
+    monkeypatch.setattr(quality, "evidence", lambda model, text: F.struct(text.cast("double").alias("low"), F.lit(-3.0).alias("toxic")))
+    names = ["p", "__host", "__e", "e", "row", "host", "path", "host_sum", "path_n", "a.b"]
+    rows = spark.createDataFrame([("1.5", "s", "l", *names), (None, None, None, *names)], ["text", "source", "lang", *names])
+    plain = {r["text"]: r for r in quality.judge(rows.select("text", "source", "lang"), None).collect()}
+    for r in quality.judge(rows, None).collect():
+        assert [r[n] for n in names] == names and (r["posterior"], r["site_rate"]) == (plain[r["text"]]["posterior"], plain[r["text"]]["site_rate"])

@@ -43,3 +43,10 @@ def test_no_rules_and_no_rows(spark):
 def test_equal_rules_block(spark):
     rules = spark.createDataFrame([("net", "/", "allow"), ("NET", "/", "block")], "host string, path string, verdict string")
     assert urls.filter_urls(spark.createDataFrame([(1, "http://net/", "", "")], SCHEMA), rules).first()["verdict"] == "block"
+
+
+def test_columns_named_like_what_is_used_inside(spark):
+    names = ["__url", "__best", "u", "row", "best", "judged", "a.b"]
+    rows = spark.createDataFrame([("http://net/", *names)], ["url", *names])
+    got = urls.filter_urls(rows, spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")).first()
+    assert [got[n] for n in names] == names and got["verdict"] == "block"

@@ -289,9 +289,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: st
     A row is judged by its own text, so null and repeated ids make no difference; a null text stays.
     """
     found = find_items(docs, benchmark, size, doc_id, text, keyed=True, **names)
-    bad = found.where("size(runs) > 0").select(F.col("key").alias("__key")).distinct()
-    own = docs.withColumn("__key", F.sha2(F.col(text).cast("string"), 256))
-    return own.join(bad, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = found.where("size(runs) > 0").select(F.col("key").alias("judged")).distinct()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.col(f"`{text}`").cast("string"), 256).alias("own"))
+    return own.join(bad, F.col("own") == F.col("judged"), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def plain(text: str | None, items: list[tuple[str, str | None]], size: int = 10) -> tuple[int, int, int, str, bool]:

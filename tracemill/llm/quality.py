@@ -240,16 +240,16 @@ def judge(
     added = ("low", "toxic", "site_rate", "posterior", "keep")
     kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    scored = stored(docs.select(*kept, site(host).alias("__host"), site(path).alias("__path"), evidence(model, F.col(text).cast("string")).alias("__e")))
-    scored = scored.withColumn("p", _odds(F.col("__e")))
-    sites, mean, k = site_rates(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "p"))
-    sites = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns})
-    host_rate = (F.col("__host_sum") - F.col("p") + k * mean) / (F.col("__host_n") - 1 + k)
-    rate = (F.col("__path_sum") - F.col("p") + k * host_rate) / (F.col("__path_n") - 1 + k)
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None).cast("boolean")  # apart from all names used here
+    scored = stored(docs.select(own.alias("row"), site(host).alias("host"), site(path).alias("path"), evidence(model, F.col(text).cast("string")).alias("e")))
+    scored = scored.withColumn("p", _odds(F.col("e")))
+    sites, mean, k = site_rates(scored.select("host", "path", "p"))
+    host_rate = (F.col("host_sum") - F.col("p") + k * mean) / (F.col("host_n") - 1 + k)
+    rate = (F.col("path_sum") - F.col("p") + k * host_rate) / (F.col("path_n") - 1 + k)
     posterior = 1 / (1 + F.exp(-(_logit(F.col("p")) + site_weight * (_logit(F.col("site_rate")) - _logit(F.lit(mean))))))
     return (
-        scored.join(sites, ["__host", "__path"])
+        scored.join(sites, ["host", "path"])
         .withColumn("site_rate", rate)
         .withColumn("posterior", posterior)
-        .select(*kept, F.col("__e.low").alias("low"), F.col("__e.toxic").alias("toxic"), "site_rate", "posterior", (F.col("posterior") < 0.5).alias("keep"))
+        .select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("e.low").alias("low"), F.col("e.toxic").alias("toxic"), "site_rate", "posterior", (F.col("posterior") < 0.5).alias("keep"))
     )

@@ -86,8 +86,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     shape = keys.agg(
         F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_dir", "/")) - 1).alias("depth")
     ).first()
-    urls = pages.select(url).where(F.col(url).contains("://")).distinct()
-    made = expressions(urls, url, shape["labels"] or 1, shape["depth"] or 0)
+    urls = pages.select(F.col(f"`{url}`").alias("url")).where(F.col("url").contains("://")).distinct()
+    made = expressions(urls, "url", shape["labels"] or 1, shape["depth"] or 0)
     fits = made.join(keys, "short").where((F.col("digest") == F.col("rule_digest")) & F.expr("startswith(path, rule_path)"))
     rank = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("size"),
@@ -96,16 +96,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         F.concat("rule_host", "rule_path").alias("rule"),
         F.col("rule_verdict").alias("verdict"),
     )
-    best = fits.groupBy(F.col("url").alias("__url")).agg(F.max(rank).alias("__best"))
-    kept = [F.col(f"p.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return (
-        pages.alias("p")
-        .join(best, F.col(f"p.`{url}`") == F.col("__url"), "left")
-        .select(
-            *kept,
-            host_of(F.col(f"p.`{url}`")).alias("host"),
-            path_of(F.col(f"p.`{url}`")).alias("path"),
-            F.col("__best.rule").alias("rule"),
-            F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
-        )
+    best = fits.groupBy(F.col("url").alias("judged")).agg(F.max(rank).alias("best"))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(f"`{url}`").alias("u"))  # apart from all names used here
+    return rows.join(best, F.col("u") == F.col("judged"), "left").select(
+        *(F.col("row").getField(c).alias(c) for c in kept), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
