@@ -14,7 +14,8 @@ BOX_CLOSED = r"\\(?:boxed|fbox)\s*\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}
 ASKS_ALL = r"(?i)find\s+all|all\s+(?:possible\s+)?(?:values|solutions|roots)|(?:separated|separate).*(?:comma|semicolon)|(?:enter|find).*angles"
 PERCENT = r"(?i)percent|percentage"
 RADIX = r"(?i)base\s*[- ]?\s*(?:\d+|two|three|four|five|six|seven|eight|nine|ten|twelve|sixteen)|binary|octal|hexadecimal"
-IN_WORDS = r"\\(?:text|mbox|mathrm)\{|^(?i:one|two|three|four|five|six|seven|eight|nine|ten)$"
+TEXT_COMMAND = r"\\(?:text|mbox|mathrm)\{"
+NUMBER_WORD = r"(?i)^(?:one|two|three|four|five|six|seven|eight|nine|ten)$"
 
 
 def analysis_rows(corpus: DataFrame, labels: list[str], splits: list[str]) -> DataFrame:
@@ -47,7 +48,7 @@ def reference_flags(question: Column, answer: Column, solution: Column, kind: Co
         "multiple_answer_request": question.rlike(ASKS_ALL),
         "percentage_context": question.rlike(PERCENT) | F.contains(answer, F.lit("\\%")),
         "radix_context_without_typed_metadata": question.rlike(RADIX) & ~F.coalesce(kind == "radix", F.lit(False)),
-        "textual_reference_answer": answer.rlike(IN_WORDS),
+        "textual_reference_answer": answer.rlike(TEXT_COMMAND) | answer.rlike(NUMBER_WORD),
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
 

@@ -9,7 +9,13 @@ STUDENT = ("Problem:\n", "\n\nSolve the problem and end with a line in the form:
 RATIO_MARK = "<|eot_id|>"
 FINAL = ("\n\nThe final answer is: $\\boxed{", "}$")
 DIFFICULTY = r"(?im)^\s*(?:\*\*)?Difficulty(?:\*\*)?\s*:\s*(easy|medium|hard)\b"
-PARTS = {"analysis": r"(?i)\banalysis\s*(?:\*\*)?\s*:", "reflection": r"(?i)\breflection\s*(?:\*\*)?\s*:", "solution": r"(?i)\bsolution\s*(?:\*\*)?\s*:"}
+# Headings of a response's parts.
+PARTS = {
+    "analysis": r"(?i)\banalysis\s*(?:\*\*)?\s*:",
+    "reflection": r"(?i)\breflection\s*(?:\*\*)?\s*:",
+    "decomposition": r"(?i)problem decomposition",
+    "solution": r"(?i)\bsolution\s*(?:\*\*)?\s*:",
+}
 
 
 def student_prompt(question: Column) -> Column:
@@ -46,11 +52,5 @@ def evaluation_prompt(question: Column, is_choice: Column, choice_instruction: s
 def structure(text: Column) -> Column:
     """struct(difficulty, has_analysis, has_reflection, has_decomposition, has_solution); the last difficulty counts."""
     labels = F.regexp_extract_all(text, F.lit(DIFFICULTY), 1)
-    flags = {n: F.coalesce(text.rlike(p), F.lit(False)) for n, p in PARTS.items()}
-    return F.struct(
-        F.when(F.size(labels) > 0, F.lower(F.element_at(labels, -1))).alias("difficulty"),
-        flags["analysis"].alias("has_analysis"),
-        flags["reflection"].alias("has_reflection"),
-        F.coalesce(F.contains(F.lower(text), F.lit("problem decomposition")), F.lit(False)).alias("has_decomposition"),
-        flags["solution"].alias("has_solution"),
-    )
+    flags = [F.coalesce(text.rlike(p), F.lit(False)).alias(f"has_{n}") for n, p in PARTS.items()]
+    return F.struct(F.when(F.size(labels) > 0, F.lower(F.element_at(labels, -1))).alias("difficulty"), *flags)
