@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import candidates as cd
@@ -42,29 +41,32 @@ def test_a_sound_pool_has_no_faults(spark):
     assert faults(spark, pool(SIZES).values(), SIZES) == []
 
 
-@pytest.mark.parametrize(
-    ("change", "want"),
-    [
-        (lambda d: d.pop(("q", "b", 2)), [("missing", "q", "b", 2)]),
-        (lambda d: d.pop(("s", "c", 65)), [("missing", "s", "c", 65)]),
-        (lambda d: d.update({("again",): d["p", "a", 1]}), [("duplicate", "p", "a", 1)]),
-        (lambda d: d["r", "c", 3].__setitem__(5, 1), [("random_stream", "r", "c", 3)]),
-        (lambda d: d["r", "c", 3].__setitem__(3, "other"), [("identity", "r", "c", 3)]),
-        (lambda d: d["p", "b", 0].__setitem__(4, None), [("identity", "p", "b", 0)]),
-        (lambda d: d["p", "a", 0].__setitem__(6, [2, 31, 4, 5, 6, 7]), [("token_boundary", "p", "a", 0)]),
-        (lambda d: d["p", "a", 1].__setitem__(6, [2, 3, 4]), [("token_accounts", "p", "a", 1), ("unfinished", "p", "a", 1)]),
-        (lambda d: d["p", "a", 1].__setitem__(6, []), [("token_accounts", "p", "a", 1), ("token_boundary", "p", "a", 1), ("unfinished", "p", "a", 1)]),
-        (lambda d: d["p", "a", 1].__setitem__(8, 9), [("token_accounts", "p", "a", 1)]),
-        (lambda d: d["p", "a", 1].__setitem__(9, None), [("token_accounts", "p", "a", 1)]),
-        (lambda d: d["q", "a", 5].__setitem__(10, 0.2), [("norm_bound", "q", "a", 5)]),
-        (lambda d: d["q", "a", 5].__setitem__(10, float("nan")), [("norm_bound", "q", "a", 5)]),
-        (lambda d: d["q", "a", 5].__setitem__(1, "z"), [("missing", "q", "a", 5), ("unexpected", "q", "z", 5)]),
-    ],
-)
-def test_each_corruption_is_named_alone(spark, change, want):
-    rows = pool(SIZES)
-    change(rows)
-    assert faults(spark, rows.values(), SIZES) == want
+CORRUPTIONS = [  # what is done to the rows of a problem of six candidates an arm, and the faults to be named: (rule, arm, index)
+    (lambda d, p: d.pop((p, "b", 2)), [("missing", "b", 2)]),
+    (lambda d, p: d.pop((p, "c", 5)), [("missing", "c", 5)]),
+    (lambda d, p: d.update({(p, "again", 0): d[p, "a", 1]}), [("duplicate", "a", 1)]),
+    (lambda d, p: d[p, "c", 3].__setitem__(5, 1), [("random_stream", "c", 3)]),
+    (lambda d, p: d[p, "c", 3].__setitem__(3, "other"), [("identity", "c", 3)]),
+    (lambda d, p: d[p, "b", 0].__setitem__(4, None), [("identity", "b", 0)]),
+    (lambda d, p: d[p, "a", 0].__setitem__(6, [2, 31, 4, 5, 6, 7]), [("token_boundary", "a", 0)]),
+    (lambda d, p: d[p, "a", 1].__setitem__(6, [2, 3, 4]), [("token_accounts", "a", 1), ("unfinished", "a", 1)]),
+    (lambda d, p: d[p, "a", 1].__setitem__(6, []), [("token_accounts", "a", 1), ("token_boundary", "a", 1), ("unfinished", "a", 1)]),
+    (lambda d, p: d[p, "a", 1].__setitem__(8, 9), [("token_accounts", "a", 1)]),
+    (lambda d, p: d[p, "a", 1].__setitem__(9, None), [("token_accounts", "a", 1)]),
+    (lambda d, p: d[p, "a", 5].__setitem__(10, 0.2), [("norm_bound", "a", 5)]),
+    (lambda d, p: d[p, "a", 5].__setitem__(10, float("nan")), [("norm_bound", "a", 5)]),
+    (lambda d, p: d[p, "a", 5].__setitem__(1, "z"), [("missing", "a", 5), ("unexpected", "z", 5)]),
+]
+
+
+def test_each_corruption_is_named_alone(spark):
+    """One pool, a problem for each corruption and sound ones beside them."""
+    sizes = {f"p{k:02d}": 6 for k in range(len(CORRUPTIONS))} | SIZES
+    rows = pool(sizes)
+    for k, (change, _) in enumerate(CORRUPTIONS):
+        change(rows, f"p{k:02d}")
+    want = sorted((rule, f"p{k:02d}", arm, i) for k, (_, named) in enumerate(CORRUPTIONS) for rule, arm, i in named)
+    assert faults(spark, rows.values(), sizes) == want
 
 
 def test_problems_rounds_and_indices(spark):
