@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.operators import answers as an, candidates as cd, layouts as ly, lineage as ln, regions as rg, stats as st, variants as va
+from tracemill.operators import aggregate as ag, answers as an, audit as au, candidates as cd, layouts as ly, lineage as ln, pairing as pr, regions as rg, stats as st, variants as va
 from tracemill.operators.store import scratch
-from tracemill.plans.catalog import query
+from tracemill.plans.catalog import query, r6
 from tracemill.plans.fixtures import table
 from tracemill.streaming.batches import ChunkAppend, RunningCounts
 
@@ -347,3 +347,67 @@ def _au1_faults(spark, d):
         (F.size("token_ids") - F.col("ended").cast("int") + at(7, "c", 1).cast("int")).alias("generated_tokens"), (~F.col("ended")).alias("hit_max_new_tokens"),
     )
     return cd.candidate_faults(rows, docs.select("problem_id", "question", "answer"), POOL)
+
+
+# Operators of pairs, records and audits that no other query applies
+
+
+@query(
+    "j11_replaced",
+    """WITH o AS (SELECT o_orderkey, [o_orderkey % 5, o_custkey % 3] AS ids, o_orderkey % 4 = 0 AS capped, o_orderkey % 8 IN (0, 1) AS there, o_orderkey % 16 <> 0 AS goes_on FROM orders)
+SELECT o_orderkey, capped AND there AS replaced, NOT (capped AND there) OR goes_on AS prefix_ok,
+array_to_string(CASE WHEN capped AND there THEN CASE WHEN goes_on THEN list_append(ids, 7) ELSE [9, 9, 9] END ELSE ids END, ',') AS ids FROM o""",
+)
+def _j11(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", F.array(k % 5, F.col("o_custkey") % 3).alias("ids"), (k % 4 == 0).alias("capped"))
+    longer = F.when(k % 16 != 0, F.concat("ids", F.array(F.lit(7).cast("long")))).otherwise(F.array(*[F.lit(9).cast("long")] * 3))
+    done = pr.replaced(rows, rows.where((k % 8).isin(0, 1)).select("o_orderkey", longer.alias("ids")), "o_orderkey", "ids", "capped")
+    return done.select("o_orderkey", "replaced", "prefix_ok", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(
+    "j13_matched_control",
+    """SELECT id, control FROM (SELECT c_custkey AS id, n_nationkey AS control, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN n_nationkey % 7 = c_custkey % 7 THEN 0 ELSE 1 END, n_nationkey) AS r
+FROM customer JOIN nation ON c_nationkey % 5 = n_nationkey % 5) WHERE r = 1""",
+)
+def _j13(spark, d):
+    specs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("block"), (F.col("c_custkey") % 7).alias("size"))
+    controls = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5).alias("block"), (F.col("n_nationkey") % 7).alias("size"))
+    return pr.matched_control(specs, controls, ["block"], "size", "id").select("id", "control")
+
+
+@query("ag18_surface_records", "SELECT l_orderkey, l_linenumber, round(ln(greatest(1, l_quantity - 10)), 6) AS log_length, round(l_tax, 6) AS student_nll FROM lineitem")
+def _ag18(spark, d):
+    rows = table(spark, d, "lineitem").withColumns({"completion_tokens": F.col("l_quantity") - 10, "student_loss_mean": F.col("l_tax")})
+    return r6(ag.surface_record(rows).select("l_orderkey", "l_linenumber", "log_length", "student_nll"))
+
+
+@query("ag20_blend", "SELECT l_orderkey, l_linenumber, round(0.25 * l_tax + 0.75 * l_discount, 6) AS score FROM lineitem")
+def _ag20(spark, d):
+    return r6(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ag.blend(F.col("l_tax"), F.col("l_discount"), 0.25).alias("score")))
+
+
+@query("st20_safe_correlation", "SELECT l_orderkey, round(CASE WHEN stddev_pop(l_quantity) > 0 AND stddev_pop(l_linenumber) > 0 THEN corr(l_quantity, l_linenumber) ELSE 0.0 END, 6) + 0.0 AS r FROM lineitem GROUP BY 1")
+def _st20(spark, d):
+    return r6(table(spark, d, "lineitem").groupBy("l_orderkey").agg(st.safe_correlation("l_quantity", "l_linenumber").alias("r"))).withColumn("r", F.col("r") + 0.0)
+
+
+@query(
+    "au4_region_violations",
+    "SELECT l_orderkey * 10 + l_linenumber AS key, CAST(l_quantity AS BIGINT) + l_linenumber AS regions, CAST(l_quantity AS BIGINT) + l_linenumber + 1 AS total FROM lineitem WHERE l_partkey % 7 = 0",
+)
+def _au4(spark, d):
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("key"), F.create_map(F.lit("body"), q, F.lit("suffix"), n).alias("by_region"), (q + n + (F.col("l_partkey") % 7 == 0).cast("int")).alias("total"))
+    return au.region_violations(rows, "key", "by_region", "total")
+
+
+@query(
+    "au7_order_violations",
+    "SELECT o_orderkey AS ordinal, o_custkey AS left_key, CASE WHEN o_orderkey % 100 = 3 THEN o_custkey + 1 END AS right_key FROM orders WHERE o_orderkey % 100 IN (3, 5)",
+)
+def _au7(spark, d):
+    left = table(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("key"))
+    right = left.where("ordinal % 100 != 5").withColumn("key", F.when(F.col("ordinal") % 100 == 3, F.col("key") + 1).otherwise(F.col("key")))
+    return au.order_violations(left, right, "ordinal", "key")
