@@ -57,6 +57,24 @@ def test_mcnemar_of_many_pairs():
     assert stats.mcnemar(500_500, 499_500) == pytest.approx(2 * 0.5 * math.erfc((1000 - 1) / 1000 / math.sqrt(2)), rel=1e-4)
 
 
+def test_crossed_draws_are_not_broadcast(spark):
+    """Rows by draw look to Spark as few as those they are exploded from."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("c"), (F.floor(F.col("id") / 2) % 4).alias("s"), F.floor(F.col("id") / 8).alias("q"), F.col("id").cast("double").alias("e"))
+    draws = stats.crossed_draws(rows, ["c"], "s", "q", "e", 50, 3)
+    assert len(draws.collect()) == 100
+    lines = draws._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert any("Generate" in line for line in lines)
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = []
+            for other in lines[k + 1 :]:
+                if len(other) - len(other.lstrip(" :+-")) <= depth:
+                    break
+                below.append(other)
+            assert not any("Generate" in x for x in below)
+
+
 def test_crossed_draws_against_plain_resampling(spark):
     pick = random.Random(9)
     rows = [(c, s, q, pick.gauss(0.3, 1)) for c, seeds, problems in (("x", 3, 7), ("y", 2, 4)) for s in range(seeds) for q in range(problems)]

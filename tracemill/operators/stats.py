@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from tracemill.operators.scan import adjusted
 from tracemill.operators.select import rank_with_ties
+from tracemill.operators.store import stored
 
 
 def holm(df: DataFrame, p: str, *family: str, name: str = "p_holm") -> DataFrame:
@@ -125,7 +126,9 @@ def _resampled(effects: DataFrame, group: list[str], column: str, side: str, sam
     """The numbered values of a column in each group, and how often each draw takes each: (group, place, n), (group, draw, place, times)."""
     w = Window.partitionBy(*group)
     numbered = effects.select(*group, column).distinct().withColumns({f"__{side}": F.row_number().over(w.orderBy(column)) - 1, f"__n{side}": F.count("*").over(w)})
-    asked = numbered.select(*group, F.col(f"__{side}").alias("__at"), F.col(f"__n{side}").alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    places = numbered.select(*group, F.col(f"__{side}").alias("__at"), F.col(f"__n{side}").alias("__n"))
+    dealt = places.repartition(int(effects.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "__at")  # else one task draws for a whole group
+    asked = dealt.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     taken = asked.withColumn(f"__{side}", _picked(seed, side, F.col("draw"), F.col("__at"), F.col("__n")).cast("int"))
     return numbered, taken.groupBy(*group, "draw", f"__{side}").agg(F.count("*").alias(f"__x{side}"))
 
@@ -136,6 +139,9 @@ def crossed_draws(effects: DataFrame, group: list[str], seed_column: str, proble
     A draw's mean is the sum of its cells, each times how often its seed and its problem were drawn.  The problems'
     multiples are summed up to (group, draw, seed) before anything meets the seeds', so a contrast is spread over its
     problems and draws.  All seeds of a group must have the same problems, one row a cell.
+
+    Whatever has a row for each draw is joined by merging: Spark takes it for as small as what it was exploded from,
+    and would send it through the driver to all tasks.
     """
     problems, of_problem = _resampled(effects, group, problem, "p", samples, seed)
     seeds, of_seed = _resampled(effects, group, seed_column, "s", samples, seed)
@@ -143,9 +149,9 @@ def crossed_draws(effects: DataFrame, group: list[str], seed_column: str, proble
     whole = cells.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(seed_column, problem).alias("d"), F.max("__np").alias("problems"), F.max("__ns").alias("seeds"))
     odd = (F.col("n") != F.col("problems") * F.col("seeds")) | (F.col("d") != F.col("n"))
     checked = whole.select(*group, F.when(odd, F.raise_error(F.lit("seeds differ in their problems"))).otherwise(F.col("problems")).cast("long").alias("problems"), F.col("seeds").cast("long").alias("seeds"))
-    rows = cells.join(of_problem, [*group, "__p"]).groupBy(*group, "draw", "__s").agg(F.sum(F.col("__v") * F.col("__xp")).alias("__v"))
-    sums = rows.join(of_seed, [*group, "draw", "__s"]).groupBy(*group, "draw").agg(F.sum(F.col("__v") * F.col("__xs")).alias("__v"))
-    return sums.join(checked, group).select(*group, "draw", (F.col("__v") / (F.col("problems") * F.col("seeds"))).alias("mean"), "problems", "seeds")
+    rows = cells.join(of_problem.hint("merge"), [*group, "__p"]).groupBy(*group, "draw", "__s").agg(F.sum(F.col("__v") * F.col("__xp")).alias("__v"))
+    sums = rows.join(of_seed.hint("merge"), [*group, "draw", "__s"]).groupBy(*group, "draw").agg(F.sum(F.col("__v") * F.col("__xs")).alias("__v"))
+    return sums.hint("merge").join(checked, group).select(*group, "draw", (F.col("__v") / (F.col("problems") * F.col("seeds"))).alias("mean"), "problems", "seeds")
 
 
 def draw_summary(draws: DataFrame, group: list[str], samples: int, interpolated: bool = False) -> DataFrame:
@@ -160,8 +166,8 @@ def draw_summary(draws: DataFrame, group: list[str], samples: int, interpolated:
 
 
 def crossed_bootstrap(effects: DataFrame, group: list[str], seed_column: str, problem: str, effect: str, samples: int, seed: int, interpolated: bool = False) -> DataFrame:
-    """(group, estimate, low, high, p, problems, seeds): ``crossed_draws`` in summary."""
-    draws = crossed_draws(effects, group, seed_column, problem, effect, samples, seed)
+    """(group, estimate, low, high, p, problems, seeds): ``crossed_draws`` in summary.  The draws' means are written at once, as they are read twice."""
+    draws = stored(crossed_draws(effects, group, seed_column, problem, effect, samples, seed))
     sizes = draws.groupBy(*group).agg(F.first("problems").alias("problems"), F.first("seeds").alias("seeds"))
     means = effects.groupBy(*group).agg(F.avg(effect).alias("estimate"))
     return means.join(draw_summary(draws, group, samples, interpolated), group).join(sizes, group).select(*group, "estimate", "low", "high", "p", "problems", "seeds")
