@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracemill.llm import simhash
 from tracemill.operators.components import components
@@ -135,6 +136,31 @@ def test_near_groups_of_hubs(spark, first):
     assert got == want
 
 
+def test_near_groups_begin_with_simhash(spark, monkeypatch):
+    """Without the exact way for the rest, near copies within 2 bits of fingerprint are found, and no others."""
+    none = lambda of, *_: of.select(F.col("i").alias("a"), F.col("i").alias("b")).limit(0)
+    monkeypatch.setattr(simhash, "_stars", none)
+    monkeypatch.setattr(simhash, "_across", none)
+    pick, texts = random.Random(4), {}
+    for n in (30, 800, 4000):
+        for _ in range(4):
+            words = [str(pick.randint(0, 10**6)) for _ in range(n)]
+            for change in (0, 0, 1, 1, n // 60, n // 45):
+                copy = list(words)
+                for k in pick.sample(range(n), change):
+                    copy[k] = f"y{pick.randint(0, 10**6)}"
+                texts[len(texts)] = " ".join(copy)
+    sets = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}
+    want = plain_groups({i: simhash.majority([s]) for i, s in sets.items()}, 2)
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) for i in want for j in want if want[i] == want[j])
+    exact = {i: min(j for j in texts if texts[j] == texts[i]) for i in texts}
+    assert len(set(want.values())) < len(set(exact.values()))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.near_unique(df).collect()} == set(want.values())
+
+
 def test_large_groups_of_near_copies(spark):
     """Hundreds of variants of one text, most of which are similar to some others only: every link of brute force is found."""
     pick, rows = random.Random(2), {}

@@ -130,12 +130,15 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 2, doc_id: st
 
 # Near-duplicates by similarity of shingle sets.
 #
+# First come the 64-bit SimHash fingerprints of the sets: those within 2 bits are candidates,
+# by ``links``, and an exact check of the whole sets follows.  What it confirms is one group.
+#
 # One 64-bit fingerprint cannot tell 0.8 apart: texts of that similarity differ in about ten
-# of its bits.  So the fingerprint is as wide as it takes: one bit for each shingle there is,
-# set if the text has the shingle.  Two texts of m and n shingles are similar enough if their
-# fingerprints are within D = (1 - similarity) / (1 + similarity) * (m + n) bits.  The blocks
-# are single bits in the order of rarity: of the first D + 1 set bits of the two, one at least
-# is common (pigeonhole), rare bits have few members, and a bit that one text has joins none.
+# of its bits.  The groups that SimHash leaves apart are therefore met in an exact way: two
+# sets of m and n shingles are similar enough if they differ in D = (1 - similarity) /
+# (1 + similarity) * (m + n) shingles at most.  The blocks are single shingles in the order
+# of rarity: of the first D + 1 shingles of the two, one at least is common (pigeonhole), rare
+# shingles have few members, and a shingle that one text has joins none.
 
 #: Bytes of text in a chunk, and bytes of text whose shingles one shard counts.
 CHUNK_BYTES = 4 << 20
@@ -206,7 +209,7 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary())})
 
 
-MARKS = "uid long, id long, n long, total long, mixed long, h array<long>, k array<int>, s array<long>"
+MARKS = "uid long, id long, n long, total long, mixed long, fp long, h array<long>, k array<int>, s array<long>"
 
 
 def _uid(chunk: int) -> int:
@@ -218,7 +221,7 @@ def _uid(chunk: int) -> int:
 
 
 def _marked(size: int, similarity: float, shards: int):
-    """A chunk: for every row its number, its set's size and two order-free hashes, and for a set that may be like another
+    """A chunk: for every row its number, its set's size, two order-free hashes and fingerprint, and for a set that may be like another
     its blocks: shingle h at place k, rarest first, as far as similar sets must share one (``h`` null: none)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,17 +241,18 @@ def _marked(size: int, similarity: float, shards: int):
             n = sets.n[owner]
             block = (place <= n - np.ceil(n * similarity - 1e-9) + 1) & (df[order] > 1)
             hashes, places, whose = sets.flat[order][block].view(np.int64), place[block], owner[block]
+            fps = np.array([majority(sets.flat[i : min(i + STEP, a + m)] for i in range(a, a + m, STEP)) for a, m in zip(sets.start.tolist(), sets.n.tolist(), strict=True)], np.uint64).view(np.int64)
             cut = np.searchsorted(whose, np.arange(len(sets.n) + 1)).tolist()
             first, seen = _uid(left.column("chunk")[c].as_py()), set()
             for row, (i, k) in enumerate(zip(chunk.ids.tolist(), sets.of.tolist(), strict=True)):
                 mine = slice(cut[k], cut[k + 1]) if k not in seen and cut[k + 1] > cut[k] else None
                 seen.add(k)
                 whole = sets.flat[sets.start[k] : sets.start[k] + sets.n[k]].view(np.int64)
-                mark = (first + row, i, int(sets.n[k]), int(sets.total[k]), int(sets.mixed[k]))
+                mark = (first + row, i, int(sets.n[k]), int(sets.total[k]), int(sets.mixed[k]), int(fps[k]))
                 rows.append((*mark, hashes[mine], places[mine], whole) if mine else (*mark, None, None, None))
-        kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        names = ["uid", "id", "n", "total", "mixed", "h", "k", "s"]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=names)
+        kinds = [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["uid", "id", "n", "total", "mixed", "fp", "h", "k", "s"]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=names)
 
     return run
 
@@ -321,19 +325,29 @@ def _across(of: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
 
 
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (i, fp) that join all fingerprints within 2 bits: ``links``, and each set with the least of its own fingerprint."""
+    nodes = stored(sets.groupBy("fp").agg(F.min("i").alias("rep")))
+    equal = sets.select("i", "fp").join(nodes, "fp").where("i != rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
+    return equal.unionByName(links(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
 def _linked(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of all sets that are linked, from blocks (h, i, n, k) and sets (i, s)."""
-    found = tried = groups = None
+    """(node, component) of all sets that are linked, from blocks (h, i, n, k) and sets (i, fp, s).
+
+    SimHash pairs are checked first; sets that those leave in different groups meet by stars, then as pairs.
+    """
+    tried = stored(_by_fingerprint(sets))
+    found = stored(_similar(tried, sets, similarity))
+    groups = components(found)
     for turn in range(TURNS + 1):
-        of = blocks.withColumn("g", F.col("i"))
-        if groups is not None:
-            of = blocks.join(groups, F.col("i") == F.col("node"), "left").select("h", "i", "n", "k", F.coalesce("component", "i").alias("g"))
+        of = blocks.join(groups, F.col("i") == F.col("node"), "left").select("h", "i", "n", "k", F.coalesce("component", "i").alias("g"))
         of = stored(of)
         pairs = _stars(of, turn, similarity) if turn < TURNS else _across(of, similarity)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         new = stored(_similar(pairs, sets, similarity))
-        found = new if found is None else found.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = found.unionByName(new)
+        tried = tried.unionByName(pairs)
         some = turn < TURNS and not new.isEmpty()
         if not some and turn < TURNS:  # no star links any more: the pairs that are left
             new = stored(_similar(_across(of, similarity).join(tried, ["a", "b"], "left_anti"), sets, similarity))
@@ -358,7 +372,7 @@ def _members(chunks: DataFrame, size: int, similarity: float) -> DataFrame:
     blocks = shown.select(F.col("uid").alias("i"), "n", F.explode(F.arrays_zip("h", "k")).alias("at")).select("at.h", "i", "n", "at.k")
     met = blocks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     blocks = stored(blocks.join(met, "h", "left_semi"))
-    sets = stored(shown.join(blocks.select(F.col("i").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("i"), "s"))
+    sets = stored(shown.join(blocks.select(F.col("i").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("i"), "fp", "s"))
     linked = _linked(blocks, sets, similarity)
     joined = nodes.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node"))
     named = joined.join(joined.groupBy("c").agg(F.min("least").alias("component_id")), "c").select(*same, "c", "component_id")
@@ -369,7 +383,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id:
     """(doc_id, component_id) for every row: groups of texts linked at ``similarity`` or more.
 
     Similarity is the Jaccard index of the sets of shingles of ``size`` words (A-Z lower-cased); a
-    shorter text is one shingle.  Every pair of different sets that reaches it is linked, directly
+    shorter text is one shingle.  SimHash fingerprints within 2 bits are linked first, if the whole
+    sets confirm it; then the exact way for what 64 bits cannot tell.  Every pair of different sets that reaches it is linked, directly
     or over others: see above for the blocks, and ``_linked`` for the order of work.  Crowded
     blocks are linked by stars, which contracts large groups of near copies; then only pairs of
     different groups are made.  Whole sets are verified by their Hamming distance.
