@@ -75,6 +75,14 @@ def test_crossed_draws_are_not_broadcast(spark):
             assert not any("Generate" in x for x in below)
 
 
+def test_draws_of_one_contrast_are_dealt_to_tasks(spark):
+    rows = spark.range(400).select(F.lit("a").alias("c"), (F.col("id") % 4).alias("s"), F.floor(F.col("id") / 4).alias("q"))
+    _, taken = stats._resampled(rows, ["c"], "q", "p", 50, 3)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [next(k for k, line in enumerate(plan) if name in line) for name in ("Generate", "RepartitionByExpression", "Window")]
+    assert at == sorted(at)
+
+
 def test_crossed_draws_against_plain_resampling(spark):
     pick = random.Random(9)
     rows = [(c, s, q, pick.gauss(0.3, 1)) for c, seeds, problems in (("x", 3, 7), ("y", 2, 4)) for s in range(seeds) for q in range(problems)]
