@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import scan, stats
+from tracemill.operators import pairing, scan, stats
 
 
 def plain(ps, up):
@@ -75,6 +75,29 @@ def test_crossed_draws_are_not_broadcast(spark):
             assert not any("Generate" in x for x in below)
 
 
+def test_cells_and_arms_are_not_broadcast(spark):
+    """Packed, they look small enough; joined by merging, they do not pass through the driver."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("arm"), (F.floor(F.col("id") / 2) % 4).alias("s"), F.floor(F.col("id") / 8).alias("q"), F.col("id").alias("v"))
+    cells = pairing.paired(rows, "arm", "a", "b", ["s", "q"], "v").withColumn("c", F.floor(F.col("q") % 2))
+    draws = stats.crossed_draws(cells, ["c"], "s", "q", "effect", 50, 3)
+    assert [r["mean"] for r in draws.collect()] == [-1.0] * 100
+    lines = draws._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert any("SortMergeJoin" in line for line in lines) and not any("BroadcastHashJoin" in line for line in lines)
+
+
+def test_effects_are_worked_out_once(spark, tmp_path):
+    source = str(tmp_path / "effects")
+    spark.range(40).select(F.lit("a").alias("c"), (F.col("id") % 4).alias("s"), F.floor(F.col("id") / 4).alias("q"), F.col("id").alias("e")).write.parquet(source)
+    got = stats.crossed_bootstrap(spark.read.parquet(source), ["c"], "s", "q", "e", 20, 3)
+    assert got.first()["estimate"] == 19.5 and not any(source in x for x in got.inputFiles())
+
+
+def test_null_seeds_are_told(spark):
+    cells = [("x", s, q, 1.0) for s in (0, None) for q in range(2)]
+    with pytest.raises(Exception, match="seeds differ in their problems"):
+        stats.crossed_bootstrap(spark.createDataFrame(cells, "c string, s int, q int, e double"), ["c"], "s", "q", "e", 5, 1).collect()
+
+
 def test_draws_of_one_contrast_are_dealt_to_tasks(spark):
     rows = spark.range(400).select(F.lit("a").alias("c"), (F.col("id") % 4).alias("s"), F.floor(F.col("id") / 4).alias("q"))
     _, taken = stats._resampled(rows, ["c"], "q", "p", 50, 3)

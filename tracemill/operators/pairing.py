@@ -25,9 +25,9 @@ def lookup_violations(facts: DataFrame, table: DataFrame, key: str) -> DataFrame
 
 
 def paired(rows: DataFrame, arm: str, left, right, on: list[str], value: str) -> DataFrame:
-    """left_value, right_value and effect of two arms on their common keys."""
+    """left_value, right_value and effect of two arms on their common keys.  Arms are joined by merging: packed, one looks small enough to be sent through the driver."""
     side = lambda a, name: rows.where(F.col(arm) == a).select(*on, F.col(value).alias(name))
-    return side(left, "left_value").join(side(right, "right_value"), on).withColumn("effect", F.col("left_value") - F.col("right_value"))
+    return side(left, "left_value").join(side(right, "right_value").hint("merge"), on).withColumn("effect", F.col("left_value") - F.col("right_value"))
 
 
 def support_differences(rows: DataFrame, arm: str, on: list[str]) -> DataFrame:

@@ -140,17 +140,19 @@ def crossed_draws(effects: DataFrame, group: list[str], seed_column: str, proble
     multiples are summed up to (group, draw, seed) before anything meets the seeds', so a contrast is spread over its
     problems and draws.  All seeds of a group must have the same problems, one row a cell.
 
-    Whatever has a row for each draw is joined by merging: Spark takes it for as small as what it was exploded from,
-    and would send it through the driver to all tasks.
+    All joins merge: Spark takes rows by draw for as few as those they were exploded from, and cells for as small as
+    they are packed, and would send either through the driver to all tasks.
     """
     problems, of_problem = _resampled(effects, group, problem, "p", samples, seed)
     seeds, of_seed = _resampled(effects, group, seed_column, "s", samples, seed)
-    cells = effects.select(*group, seed_column, problem, F.col(effect).cast("double").alias("__v")).join(problems, [*group, problem]).join(seeds, [*group, seed_column])
-    whole = cells.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(seed_column, problem).alias("d"), F.max("__np").alias("problems"), F.max("__ns").alias("seeds"))
-    odd = (F.col("n") != F.col("problems") * F.col("seeds")) | (F.col("d") != F.col("n"))
-    checked = whole.select(*group, F.when(odd, F.raise_error(F.lit("seeds differ in their problems"))).otherwise(F.col("problems")).cast("long").alias("problems"), F.col("seeds").cast("long").alias("seeds"))
-    rows = cells.join(of_problem.hint("merge"), [*group, "__p"]).groupBy(*group, "draw", "__s").agg(F.sum(F.col("__v") * F.col("__xp")).alias("__v"))
-    sums = rows.join(of_seed.hint("merge"), [*group, "draw", "__s"]).groupBy(*group, "draw").agg(F.sum(F.col("__v") * F.col("__xs")).alias("__v"))
+    cells = effects.select(*group, seed_column, problem, F.col(effect).cast("double").alias("__v")).join(problems.hint("merge"), [*group, problem])
+    each = cells.groupBy(*group, seed_column).agg(F.count("*").alias("n"), F.count_distinct(problem).alias("d"), F.max("__np").alias("problems"))
+    odd = F.col(seed_column).isNull() | (F.col("n") != F.col("problems")) | (F.col("d") != F.col("problems"))
+    whole = each.groupBy(*group).agg(F.max(odd).alias("odd"), F.max("problems").alias("problems"), F.count("*").alias("seeds"))
+    checked = whole.select(*group, F.when(F.col("odd"), F.raise_error(F.lit("seeds differ in their problems"))).otherwise(F.col("problems")).cast("long").alias("problems"), "seeds")
+    rows = cells.join(of_problem.hint("merge"), [*group, "__p"]).groupBy(*group, "draw", seed_column).agg(F.sum(F.col("__v") * F.col("__xp")).alias("__v"))
+    named = of_seed.join(seeds.hint("merge"), [*group, "__s"]).select(*group, "draw", seed_column, "__xs")
+    sums = rows.join(named.hint("merge"), [*group, "draw", seed_column]).groupBy(*group, "draw").agg(F.sum(F.col("__v") * F.col("__xs")).alias("__v"))
     return sums.hint("merge").join(checked, group).select(*group, "draw", (F.col("__v") / (F.col("problems") * F.col("seeds"))).alias("mean"), "problems", "seeds")
 
 
@@ -166,7 +168,8 @@ def draw_summary(draws: DataFrame, group: list[str], samples: int, interpolated:
 
 
 def crossed_bootstrap(effects: DataFrame, group: list[str], seed_column: str, problem: str, effect: str, samples: int, seed: int, interpolated: bool = False) -> DataFrame:
-    """(group, estimate, low, high, p, problems, seeds): ``crossed_draws`` in summary.  The draws' means are written at once, as they are read twice."""
+    """(group, estimate, low, high, p, problems, seeds): ``crossed_draws`` in summary.  Effects and the draws' means are written at once, as they are read several times."""
+    effects = stored(effects.select(*group, seed_column, problem, effect))
     draws = stored(crossed_draws(effects, group, seed_column, problem, effect, samples, seed))
     sizes = draws.groupBy(*group).agg(F.first("problems").alias("problems"), F.first("seeds").alias("seeds"))
     means = effects.groupBy(*group).agg(F.avg(effect).alias("estimate"))
